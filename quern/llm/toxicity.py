@@ -3,7 +3,8 @@
 Each class has a bigram model. Its absolute discounts are in proportion to the class's size, so both
 classes see at the same resolution, and what is discounted goes to counts that both share: of pairs,
 and below them continuation counts (after how many words a word stands). An expression too rare to
-pass the discount in either class is thus scored by the shared counts alone and says nothing.
+pass the discount in either class is thus scored by the shared counts alone and says nothing, and so
+is one whose counts differ from the shared ones by no more than chance would.
 A text's evidence is its length-normalised log-likelihood difference, over the whole text and over
 its most toxic stretch; a logistic function of both, fitted on labelled rows that the counts have
 not seen, gives the score.
@@ -30,6 +31,11 @@ def _ids(text: str | None) -> np.ndarray:
     return _words.of(text.encode("utf-8", "surrogatepass").translate(LETTERS).split()) if text else np.empty(0, np.uint64)
 
 
+def _once(keys: np.ndarray) -> np.ndarray:
+    """A document counts an expression once, so long or repetitive ones weigh no more than others."""
+    return np.unique(keys)
+
+
 def _summed(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
     """Counts by key and class of one batch."""
     parts = []
@@ -46,12 +52,18 @@ def _counts(train: DataFrame, keys_of) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield _summed([keys_of(x) for x in part.column(0).to_pylist()], part.column(1).to_pylist())
+                yield _summed([_once(keys_of(x)) for x in part.column(0).to_pylist()], part.column(1).to_pylist())
 
     got = train.select("text", "label").mapInArrow(run, "k long, n0 long, n1 long")
     return got.groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def _sure(gain: np.ndarray, seen: np.ndarray, expected: np.ndarray, z: float = 3.0) -> np.ndarray:
+    """``gain`` shrunk to nothing where the count is within ``z`` deviations of what the shared counts expect."""
+    surprise = 2 * (seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)) - (seen - expected))
+    return gain * np.maximum(1 - z * z / np.maximum(surprise, 1e-9), 0)
+
+
 class Model:
     """Tables of the words and pairs that pass the discount in a class, and the scoring by them."""
 
@@ -76,8 +88,13 @@ class Model:
             taken = np.bincount(first, over, minlength=size)[:size] if size else np.empty(0)
             # Both classes back off to the same pair counts, with the class's own taste for the word.
             high.append(over + np.maximum(1 - taken, 0)[first] * together * (p[c] / pooled)[second] + 1e-12)
-        self.word_gain = np.log(p[1] / p[0])
-        self.pair_gain = np.log(high[1] / high[0])
+        ratio = [x / pooled for x in p]
+        self.word_gain = _sure(np.log(p[1] / p[0]), n[:, 1], n.sum(axis=1) * totals[1] / max(sum(totals), 1))
+        # A pair adds to its second word what counts of the pair show beyond that word's own ratio.
+        own = self.word_gain[second]
+        expected = [totals[c] * ratio[c][second] for c in (0, 1)]
+        expected = m.sum(axis=1) * expected[1] / np.maximum(expected[0] + expected[1], 1e-12)
+        self.pair_gain = own + _sure(np.log(high[1] / high[0]) - own, m[:, 1], expected)
         self.weights = np.array([-3.0, 1.0, 1.0])
 
     def gains(self, text: str | None) -> np.ndarray:
