@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .langid import identify
 from .packing import Limits, pack
+from .quality import quality
 from .token_count import token_counts
 from .toxicity import labelled, toxicity
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and line-frequency verdict of every document; its host is its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality(docs, "doc_id", "text", "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_toxicity, op6_token_counts, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op6_token_counts, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
