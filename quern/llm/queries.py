@@ -11,6 +11,10 @@ from .packing import Limits, pack
 from .quality import quality
 from .token_count import token_counts
 from .toxicity import labelled, toxicity
+from .url_templates import judge
+
+#: The rules of the url query.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +38,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by the rules, else by its template. A page shows the document whose number its
+    path ends with; that document's quality label is the page's."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    number = F.regexp_extract("url", r"://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:\.[A-Za-z]+)?/?(?:[?#]|$)", 1)
+    shown = pages.select("page_id", F.try_to_number(number, F.lit("9" * 18)).cast("long").alias("doc_id"))
+    bad = shown.join(labels, "doc_id").groupBy("page_id").agg(F.max(1 - F.col("quality")).alias("bad"))
+    return judge(pages, "page_id", "url", bad, URL_RULES)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids of ``byte_bpe_50k.json`` and id 0, in sequences of at most 1024."""
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", Limits(1024, 256, 1024))
@@ -48,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op6_token_counts, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
