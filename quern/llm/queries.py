@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import Scratch, held_out, n_words, table
 from .langid import identify
+from .mixing import Mix, mix
 from .packing import Limits, pack
 from .quality import quality
 from .token_count import token_counts
@@ -17,6 +18,22 @@ from .url_templates import judge
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
+def mixed(docs: DataFrame, weights: list[float]) -> Mix:
+    """The mix of (doc_id, source, size) with each row's target."""
+    return mix(docs, "doc_id", "source", "size", weights, Scratch(docs.sparkSession))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources by weights 1, 2, 3, repeating, takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    own = mixed(docs, [1.0, 2.0, 3.0])
+    at = ["_source", "_chunk", "_place"]
+    taken = own.pieces.groupBy(*at).agg(F.sum("length").alias("taken"))
+    told = spark.createDataFrame([(i, p.size, p.target) for i, p in enumerate(own.plans)], "_source int, source_size long, target double")
+    out = own.rows.join(taken, at, "left").join(F.broadcast(told), "_source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and line-frequency verdict of every document; its host is its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -63,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op2_mixing, op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
