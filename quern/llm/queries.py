@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .common import Scratch, held_out, n_words, table
 from .langid import identify
 from .mixing import Mix, mix
@@ -18,6 +19,11 @@ from .url_templates import judge
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id 100 divides, among all others."""
+    return search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
 def mixed(docs: DataFrame, weights: list[float]) -> Mix:
     """The mix of (doc_id, source, size) with each row's target."""
     return mix(docs, "doc_id", "source", "size", weights, Scratch(docs.sparkSession))
@@ -80,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_multi_index, op2_mixing, op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
