@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .ann import search
 from .common import Scratch, held_out, n_words, table
+from .html_crf import main_text
 from .langid import identify
 from .mixing import Mix, mix
+from .ngram_join import link
 from .packing import Limits, pack
 from .quality import quality
 from .token_count import token_counts
@@ -40,6 +42,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85."""
+    return link(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and line-frequency verdict of every document; its host is its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -72,6 +79,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, "page_id", "url", bad, URL_RULES)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text(pages, "html").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids of ``byte_bpe_50k.json`` and id 0, in sequences of at most 1024."""
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k.json", Limits(1024, 256, 1024))
@@ -86,7 +99,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_multi_index, op2_mixing, op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_multi_index, op2_mixing, op3_ngram_join, op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op8_main_text, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
