@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Characters that count as symbols.
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 
 
 def _normal(line: Column) -> Column:
@@ -36,7 +36,7 @@ def with_counts(df: DataFrame, text: str) -> DataFrame:
         {
             "n_words": F.coalesce(F.size("_w").cast("long"), F.lit(0).cast("long")),
             "word_chars": F.coalesce(F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long"), F.lit(0).cast("long")),
-            "n_symbols": F.coalesce((F.length(text) - F.length(F.translate(F.col(text), "#*$%&|<>", ""))).cast("long"), F.lit(0).cast("long")),
+            "n_symbols": F.coalesce((F.length(text) - F.length(F.translate(F.col(text), SYMBOLS, ""))).cast("long"), F.lit(0).cast("long")),
             "n_dup_lines": F.coalesce((F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), F.lit(0).cast("long")),
         }
     )
@@ -47,6 +47,9 @@ def with_counts(df: DataFrame, text: str) -> DataFrame:
     out = out.withColumn("_places", F.sort_array(F.transform(F.filter("_windows", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
     # Each repeated window covers 5 words, less what the next one covers too.
     covered = F.aggregate("_places", F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(5), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"].cast("long"))
+    # A condition on this column must not move below the arrays, where it would make them anew for
+    # each element; the optimizer keeps conditions above what depends on the partition.
+    covered = F.when(F.spark_partition_id() >= 0, F.coalesce(covered, F.lit(0).cast("long")))
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     return out.drop("_w", "_lines", "_windows", "_places")
 
@@ -108,7 +111,9 @@ def quality(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 10
     gone = gone.join(rows, "_key", "left").select("_key", (F.col("_gone") / F.coalesce("_rows", F.lit(1))).cast("long").alias("n_boilerplate_words"))
     own = [c for c in df.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words")]
     counted = with_counts(df.select(*own), text).withColumn("_key", F.xxhash64(F.col(doc_id), F.col(host), F.col(text)))
-    out = counted.join(gone, "_key", "left").drop("_key")
+    gone = scratch.table(gone)
+    small = gone.count() <= broadcast_rows
+    out = counted.join(F.broadcast(gone) if small else gone, "_key", "left").drop("_key")
     out = out.withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("n_boilerplate_words")) < left * F.col("n_words")
