@@ -1,53 +1,20 @@
-"""What the training-data operators share: scratch tables, held-out rows, file look-up."""
+"""What the training-data operators share: held-out rows, word counts, file look-up."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import Scratch as Scratch
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: One byte each: lower-case letters stay, A-Z fold, every other ASCII byte becomes a space.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared checkpoint folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/quern-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def table(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this scratch that nothing will read again."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of all documents that no model learns from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -8,6 +8,7 @@ tokens that starts anew when it ends, cut into blocks of equal length.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,6 @@ from .common import Scratch
 #: i times this, modulo 2 ** 32.
 GOLDEN = 2654435769
 POINTS = 1 << 32
-#: Slots of one run, within which a task ranks them.
-RUN = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -83,7 +82,7 @@ class Mix:
     block: int
 
 
-def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], scratch: Scratch, most: float = 3.0, blocks: int = 1 << 20, rows_a_chunk: int = 20_000, seed: int = 1) -> Mix:
+def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], scratch: Scratch, most: float = 3.0, blocks: int = 1 << 20, seed: int = 1) -> Mix:
     """Mix rows of (key, source, size) to the targets of ``targets``.
 
     A block has the smallest length for which all tokens make ``blocks`` blocks at most. Rows are cut
@@ -98,7 +97,8 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], s
     block = max(1, -(-total // blocks))
     number = {p.source: i for i, p in enumerate(plans)}
     names = spark.createDataFrame([(i, s) for s, i in number.items()], "_source int, _name string")
-    chunks = max(1, rows // rows_a_chunk)
+    # About as many chunks as rows in each: both levels of every running sum grow as a square root.
+    chunks = max(1, math.isqrt(rows))
     h = F.xxhash64(F.lit(seed), F.col(key))
     numbered = df.join(F.broadcast(names), F.col(source).cast("string").eqNullSafe(F.col("_name"))).drop("_name")
     # Chunks split the hash's range evenly, in its order.
@@ -128,7 +128,7 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], s
             return pd.Series(np.asarray(ids)[np.searchsorted(highs, points.to_numpy(), side="right")])
 
         drawn = drawn.withColumn("_source", find("point"))
-    drawn = drawn.withColumn("_run", F.floor(F.col("slot") / RUN).cast("int")).select("slot", "_source", "_run")
+    drawn = drawn.withColumn("_run", F.floor(F.col("slot") / max(1, math.isqrt(slots))).cast("int")).select("slot", "_source", "_run")
     ranked = _ranked(drawn, "_source", F.lit(1), "block", ["slot"], scratch, "_run").select("slot", "_source", "block")
 
     # What a source's slots take of its stream: blocks 0, 1, ... of the stream written ``most`` times.
