@@ -130,28 +130,28 @@ def _overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, scr
     more partners is dealt to several tasks.
     """
     ends = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = scratch.table(ends.join(classes, "c").select("k"))
-    small = wanted.count() <= broadcast_rows
+    wanted = scratch.table(ends.join(classes, "c").select("k", "c"))
+    side = lambda df, small: F.broadcast(df) if small else df
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             out = [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if k not in seen:
-                    seen.add(k)
-                    out[0].append(k)
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if c not in seen:
+                    seen.add(c)
+                    out[0].append(c)
                     out[1].append(ngram_set(text.as_py(), n).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["k", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["c", "own"])
 
-    held = docs.select("k", "text").join(F.broadcast(wanted) if small else wanted, "k", "left_semi").mapInArrow(sets, "k long, own binary")
-    held = held.join(classes.select("c", "k"), "k").select("c", "own")
+    held = docs.select("k", "text").join(side(wanted, wanted.count() <= broadcast_rows), "k").select("c", "text").mapInArrow(sets, "c long, own binary")
+    # Where each set is needed: as a hub in all parts of its pairs, as a member in one.
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    dealt = pairs.select("a", "b").join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    members = dealt.join(held.withColumnRenamed("c", "b"), "b").select("a", "part", "b", "own")
-    hubs = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    hubs = hubs.join(held.withColumnRenamed("c", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "own")
-    rows = hubs.unionAll(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    members = pairs.select("a", "b").join(parts, "a").select(F.col("b").alias("c"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    hubs = parts.select(F.col("a").alias("c"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    places = scratch.table(hubs.unionAll(members))
+    rows = held.join(side(places, places.count() <= broadcast_rows), "c").select("a", "part", "b", "own")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own, last = None, None, None
@@ -186,13 +186,15 @@ def link(df: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, h
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).cast("string").alias("text"))
     told = scratch.table(_prefixes(docs, n, percent, frequent(docs, n, scratch), hot))
     filled = told.where("n > 0")
-    classes = scratch.table(filled.groupBy("c").agg(F.min("doc_id").alias("label"), F.min("k").alias("k"), F.min("n").alias("n"), F.min("hot_from").alias("hot_from"), F.first("prefix").alias("prefix")))
-    posted = classes.select("c", "n", "hot_from", F.posexplode("prefix").alias("i", "g"))
+    classes = scratch.table(filled.groupBy("c").agg(F.min("doc_id").alias("label"), F.min("k").alias("k"), F.min("n").alias("n")))
+    posted = filled.select("c", F.col("n").cast("int").alias("n"), "hot_from", F.posexplode("prefix").alias("i", "g"))
     member = F.struct("c", "n", "i")
-    # Common blocks are few and have many rows: sums and a small table. The others are dealt by block.
+    # Common blocks are few and have many rows: sums and a small table. The others are dealt by block,
+    # and copies, which are of one class, fall away there.
     by = Window.partitionBy("g")
-    cold = posted.where("i < hot_from").withColumn("size", F.count("*").over(by)).withColumn("hub", F.min(member).over(by)).where("size > 1")
-    warm = posted.where("i >= hot_from")
+    cold = posted.where("i < hot_from").select("g", "c", "n", "i").repartition("g").groupBy("g", "c").agg(F.min("n").alias("n"), F.min("i").alias("i"))
+    cold = cold.withColumn("size", F.count("*").over(by)).withColumn("hub", F.min(member).over(by)).where("size > 1")
+    warm = posted.where("i >= hot_from").groupBy("g", "c").agg(F.min("n").alias("n"), F.min("i").alias("i"))
     tops = warm.groupBy("g").agg(F.count("*").alias("size"), F.min(member).alias("hub")).where("size > 1")
     columns = ["g", "size", "hub", "c", "n", "i"]
     blocks = scratch.table(cold.select(*columns).unionAll(warm.join(tops, "g").select(*columns)).where("c <> hub.c"))
