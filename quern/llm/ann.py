@@ -180,7 +180,7 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), batch.column(0).take(pa.array(out[2], pa.int64())), batch.column(1).take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["block", "part", "q", "v", "cells"])
 
-    visits = queries.select("q", "v").mapInArrow(visit, "block long, part int, q long, v array<double>, cells array<long>")
+    visits = queries.select("q", "v").repartition(spark.sparkContext.defaultParallelism).mapInArrow(visit, "block long, part int, q long, v array<double>, cells array<long>")
 
     @F.arrow_udf("struct<block: long, part: int>")
     def place(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
