@@ -66,7 +66,7 @@ def tagged(files: DataFrame, wanted: tuple[str, ...], tags: DataFrame, file_tags
 def indexed(files: DataFrame, home: str = "/home/u") -> DataFrame:
     """``files`` with the folded words of name, folders and body, as strings of spaced words."""
     inside = F.regexp_replace(F.substring("path", len(home) + 2, 1 << 30), "/[^/]*$", "")
-    body = tokens(F.col("text")) if "text" in files.columns else F.lit("")
+    body = F.coalesce(tokens(F.col("text")), F.lit("")) if "text" in files.columns else F.lit("")
     return files.withColumn("t_name", tokens(F.concat_ws(" ", "name", "name"))).withColumn("t_dirs", tokens(inside)).withColumn("t_body", body)
 
 
@@ -133,14 +133,14 @@ def boosted(score: Column, project: Column, mtime: Column, now: int) -> Column:
     return score * F.when(project.isNull(), 1.0).otherwise(0.3) * (1 + 1 / (1 + age / WEEK))
 
 
-def search_words(files: DataFrame, q: Query, now: int, tags: DataFrame | None = None) -> DataFrame:
+def search_words(files: DataFrame, q: Query, now: int, tags: DataFrame | None = None, home: str = "/home/u") -> DataFrame:
     """The query's best files by words, or the newest if it has none."""
     terms = [t for t in q.terms if _phrase(t)]
     limit = q.limit or DEFAULT_LIMIT
     if not terms:
         left = filters(files, q, tags)
         return left.orderBy(F.col("project_id").isNotNull(), F.desc("mtime"), "id").limit(limit)
-    scored = bm25(indexed(files), terms)
+    scored = bm25(indexed(files, home), terms)
     left = filters(scored, q, tags).withColumn("rank_score", boosted(F.col("score"), F.col("project_id"), F.col("mtime"), now))
     return left.orderBy(F.desc("by_name"), "rank_score", "id").limit(limit)
 

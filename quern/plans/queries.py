@@ -392,6 +392,83 @@ def debounce_quiet(x: Fixtures) -> DataFrame:
     return quiet_batches(matters(x.table("events")), 300)
 
 
+@query()
+def debounce_capped(x: Fixtures) -> DataFrame:
+    from quern.streaming.debounce import capped_batches, matters
+
+    return capped_batches(matters(x.table("events")), "user_id", 86_400, 3 * 86_400)
+
+
+@query()
+def chunk_ranges(x: Fixtures) -> DataFrame:
+    from quern.functions.passages import chunk_ranges
+
+    return x.table("documents").select("doc_id", F.posexplode(chunk_ranges(F.col("text"))).alias("chunk", "range")).select("doc_id", "chunk", "range.start", "range.end")
+
+
+@query()
+def fts_snippet(x: Fixtures) -> DataFrame:
+    from quern.functions.passages import snippet
+
+    return S.search_words(x.files(True), asked("that with"), NOW).select("id", snippet(F.col("text"), ["that", "with"]).alias("line"))
+
+
+@query()
+def label_by_example(x: Fixtures) -> DataFrame:
+    from quern.operators.labels import by_example
+
+    e = x.table("embeddings").where("label < 4 and vec_id % 10 = 0")
+    tags = e.select(F.concat(F.lit("v"), F.floor(F.col("vec_id") / 4).cast("string")).alias("hash"), F.concat(F.lit("label"), "label").alias("tag"), F.lit("manual").alias("source")).distinct()
+    return by_example(x.vectors(), tags, 0.3).select("hash", "label", F.round("score", 6).alias("score"))
+
+
+def policy_of(limit: int, version: int) -> str:
+    """What a content was read with; another limit or version makes its vectors stale."""
+    return f"lines-1/{limit}/{version}"
+
+
+@query(f"{FILES} SELECT hash, min(kind) AS kind FROM f WHERE hash NOT IN (SELECT hash FROM f WHERE id % 3 = 0) GROUP BY hash")
+def pending_embeddings(x: Fixtures) -> DataFrame:
+    from quern.operators.ingest import pending
+
+    policy = policy_of(65_536, 0)
+    done = x.files().where("id % 3 = 0").select("hash", F.lit(policy).alias("policy"))
+    return pending(x.files(), done, policy).select("hash", "kind")
+
+
+@query(f"""{FILES}, c AS (SELECT DISTINCT hash, CASE WHEN id % 2 = 0 THEN 100 END AS unused FROM f WHERE id % 10 <> 0 AND hash NOT IN (SELECT hash FROM f GROUP BY hash HAVING count(*) > 1)),
+l AS (SELECT DISTINCT hash FROM f WHERE id % 4 <> 0) SELECT hash, CASE WHEN hash IN (SELECT hash FROM l) THEN NULL ELSE coalesce(unused, {NOW}) END AS unused_since FROM c WHERE hash IN (SELECT hash FROM l) OR coalesce(unused, {NOW}) > {NOW} - 2592000""")
+def cache_gc_sweep(x: Fixtures) -> DataFrame:
+    from quern.operators.ingest import collected
+
+    f = x.files()
+    once = f.groupBy("hash").count().where("count = 1").select("hash")
+    cache = f.where("id % 10 <> 0").join(once, "hash", "left_semi").select("hash", F.when(F.col("id") % 2 == 0, F.lit(100).cast("long")).alias("unused_since"))
+    return collected(cache, f.where("id % 4 <> 0"), NOW).select("hash", "unused_since")
+
+
+@query("""WITH l AS (SELECT s_suppkey AS k, 'unit' || s_suppkey || CASE WHEN s_suppkey % 7 = 0 THEN '@.service' ELSE '.service' END AS unit, CASE WHEN s_acctbal > 5000 THEN 'active' ELSE 'failed' END AS active FROM supplier)
+SELECT unit, CASE WHEN k % 2 = 0 THEN active ELSE 'inactive' END AS active FROM l WHERE k % 7 <> 0""")
+def services_merge(x: Fixtures) -> DataFrame:
+    from quern.operators.providers import services
+
+    k = F.col("s_suppkey")
+    units = x.table("supplier").select(k, F.concat(F.lit("unit"), k.cast("string"), F.when(k % 7 == 0, "@.service").otherwise(".service")).alias("unit"), F.when(F.col("s_acctbal") > 5000, "active").otherwise("failed").alias("active"))
+    return services(units.where(k % 2 == 0).select("unit", "active"), units.select("unit", F.lit("enabled").alias("state"))).select("unit", "active")
+
+
+@query("""WITH s AS (SELECT 1000 + s_suppkey % 50 AS port, CASE WHEN s_suppkey % 2 = 0 THEN 'tcp' ELSE 'udp' END AS protocol, s_nationkey AS pid, CASE s_suppkey % 3 WHEN 0 THEN '0.0.0.0' WHEN 1 THEN '127.0.0.1' ELSE '10.0.0.' || (s_suppkey % 4) END AS address FROM supplier),
+g AS (SELECT port, protocol, pid, list(DISTINCT address ORDER BY address) AS a FROM s GROUP BY ALL)
+SELECT port, protocol, pid, CASE WHEN list_contains(a, '0.0.0.0') THEN 'every network' WHEN a = ['127.0.0.1'] THEN 'this computer only' ELSE array_to_string(a, ', ') END AS reach FROM g""")
+def ports_merge(x: Fixtures) -> DataFrame:
+    from quern.operators.providers import ports
+
+    k = F.col("s_suppkey")
+    address = F.when(k % 3 == 0, "0.0.0.0").when(k % 3 == 1, "127.0.0.1").otherwise(F.concat(F.lit("10.0.0."), (k % 4).cast("string")))
+    sockets = x.table("supplier").select((1000 + k % 50).alias("port"), F.when(k % 2 == 0, "tcp").otherwise("udp").alias("protocol"), F.col("s_nationkey").alias("pid"), F.lit("x").alias("name"), address.alias("address"))
+    return ports(sockets).select("port", "protocol", "pid", "reach")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

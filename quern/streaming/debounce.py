@@ -11,12 +11,45 @@ def matters(events: DataFrame) -> DataFrame:
     return events.where(~F.col("event_type").isin("click", "view"))
 
 
-def quiet_batches(events: DataFrame, quiet: int) -> DataFrame:
-    """(opened, due, events): runs of events with less than ``quiet`` seconds between them.
+def quiet_batches(events: DataFrame, quiet: int, *keys: str) -> DataFrame:
+    """(keys, opened, due, events): runs of events with less than ``quiet`` seconds between them.
 
-    The same plan serves a batch and a stream (with a watermark on ``ts``): session windows keep one
-    open batch as state.
+    The same plan serves a batch and, with a key and a watermark on ``ts``, a stream: session windows
+    keep one open batch a key as state.
     """
-    by = events.groupBy(F.session_window("ts", f"{quiet} seconds").alias("w"))
+    by = events.groupBy(*keys, F.session_window("ts", f"{quiet} seconds").alias("w"))
     out = by.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("events"))
-    return out.select(F.unix_timestamp("first").alias("opened"), (F.unix_timestamp("last") + quiet).alias("due"), "events")
+    return out.select(*keys, F.unix_timestamp("first").alias("opened"), (F.unix_timestamp("last") + quiet).alias("due"), "events")
+
+
+def capped_batches(events: DataFrame, key: str, quiet: int, most: int) -> DataFrame:
+    """(key, opened, due, events) with batches that also close ``most`` seconds after they open.
+
+    A batch opens at its first event and is due ``quiet`` seconds after its last, or ``most`` after its
+    first; an event before that joins it. This order-dependent fold runs by key, in time order, keeping
+    one open batch: rows stream through sorted partitions, and no key's events are gathered.
+    """
+    import pyarrow as pa
+
+    def fold(batches):
+        now, out = None, []
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now and now[0] == k and t < min(now[2] + quiet, now[1] + most):
+                    now = (k, now[1], t, now[3] + 1)
+                else:
+                    if now:
+                        out.append(now)
+                    now = (k, t, t, 1)
+            yield _batch(pa, out, quiet, most)
+            out = []
+        yield _batch(pa, [now] if now else [], quiet, most)
+
+    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_timestamp("ts").alias("t"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "t")
+    return rows.mapInArrow(fold, "key string, opened long, due long, events long")
+
+
+def _batch(pa, rows, quiet: int, most: int):
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [min(r[2] + quiet, r[1] + most) for r in rows], [r[3] for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "opened", "due", "events"])
