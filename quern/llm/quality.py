@@ -61,7 +61,7 @@ def _document_lines(df: DataFrame, key: list[str], text: str, host: str) -> Data
     rows = rows.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
     each = F.transform(
         F.col("_hashes"),
-        lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(F.expr("_hashes"), i - 1), F.xxhash64(x, i)).alias("before"), F.coalesce(F.get(F.expr("_hashes"), i + 1), F.xxhash64(x, i)).alias("after"), F.size(F.array_remove(F.split(F.get(F.expr("_lines"), i), " "), "")).alias("words")),
+        lambda x, i: F.struct(x.alias("line"), i.alias("i"), F.coalesce(F.get(F.expr("_hashes"), i - 1), F.xxhash64(x, i)).alias("before"), F.coalesce(F.get(F.expr("_hashes"), i + 1), F.xxhash64(x, i)).alias("after"), F.size(F.array_remove(F.split(F.get(F.expr("_lines"), i), " "), "")).alias("words")),
     )
     return rows.select(*key, "_host", F.explode(each).alias("l")).select(*key, "_host", "l.*")
 
@@ -79,7 +79,8 @@ def boilerplate(df: DataFrame, text: str, host: str, scratch: Scratch, min_docs:
     often = scratch.table(counts)
     small = often.count() <= broadcast_rows
     near = lines.join(F.broadcast(often) if small else often, ["_host", "line"])
-    once = near.groupBy("_host", "line", "_key").agg(F.min("before").alias("before"), F.min("after").alias("after"))
+    once = near.groupBy("_host", "line", "_key").agg(F.min(F.struct("i", "before", "after")).alias("first"))
+    once = once.select("_host", "line", "_key", "first.before", "first.after")
     total = None
     for side in ("before", "after"):
         by = once.groupBy("_host", "line", F.col(side)).count().groupBy("_host", "line")

@@ -102,5 +102,26 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_multi_index, op2_mixing, op3_ngram_join, op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op8_main_text, op9_packing, op10_language_id)}
 
 
+#: Quality rules in SQL: the same counts and verdicts, with lines themselves in place of their hashes.
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, source, text, translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS spaced FROM documents),
+w AS (SELECT *, list_filter(string_split(spaced, ' '), lambda x: x <> '') AS ws,
+ list_filter(string_split(text, chr(10)), lambda x: trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '') AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, sum(least(5, step)) AS n FROM (SELECT doc_id, i - lag(i, 1, i - 5) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM r) GROUP BY doc_id),
+n AS (SELECT doc_id, source, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(translate(lower(x), '0123456789' || chr(9) || chr(13) || chr(11) || chr(12), '0000000000    '))), lambda x: x <> '') AS ns FROM d),
+l AS (SELECT doc_id, source, text, i, ns[i] AS line, CASE WHEN i > 1 THEN ns[i - 1] ELSE chr(1) END AS before, CASE WHEN i < len(ns) THEN ns[i + 1] ELSE chr(1) || i END AS after FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM n)),
+o AS (SELECT source, line, text, arg_min(before, i) AS before, arg_min(after, i) AS after FROM l GROUP BY ALL),
+b AS (SELECT source, line, sum(k) AS docs, max(k) AS top FROM (SELECT source, line, before, count(*) AS k FROM o GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT source, line, max(k) AS top FROM (SELECT source, line, after, count(*) AS k FROM o GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT b.source, b.line FROM b JOIN a ON a.source IS NOT DISTINCT FROM b.source AND a.line = b.line WHERE b.docs >= 10 AND (b.top < 0.5 * b.docs OR a.top < 0.5 * b.docs)),
+x AS (SELECT l.doc_id, sum(len(list_filter(string_split(l.line, ' '), lambda x: x <> ''))) AS gone FROM l JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.line = l.line GROUP BY l.doc_id),
+t AS (SELECT w.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(length(replace(spaced, ' ', '')), 0) AS word_chars, coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS n_symbols,
+ coalesce(len(ls) - len(list_distinct(ls)), 0) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_boilerplate_words FROM w LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM t)
+SELECT *, NOT base_failed AND NOT n_words - n_boilerplate_words < 0.3 * n_words AS kept FROM v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": QUALITY_SQL}
