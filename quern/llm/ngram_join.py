@@ -4,7 +4,7 @@
 2. N-grams are put in one order for all, rare ones first; a class's prefix is the part of its set in
    which it must meet any class that it links to (n less the overlap that the size demands, plus 1).
 3. The prefixes' columns of the incidence matrix are the blocks. In each, every class meets the
-   block's hub (its smallest class). Pairs whose sizes, or places in both orders, cannot give the
+   block's hub (the class with the fewest n-grams of its own). Pairs whose sizes, or places in both orders, cannot give the
    overlap are discarded; the overlaps of the others are counted over whole sets.
 4. Only what did not link to its hub meets the rest of its block, unless already in one component
    with it or too far from it: as Jaccard distance is a metric, two classes link only if their
@@ -85,14 +85,16 @@ def frequent(docs: DataFrame, n: int, scratch: Scratch, most: int = 1_000_000, r
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, table, hot: int) -> DataFrame:
-    """(doc_id, k, n, c, prefix, hot_from): k names the text, c the class; from hot_from on, the
-    prefix's n-grams are in over ``hot`` documents."""
+    """(doc_id, k, n, c, prefix, hot_from, rare): k names the text, c the class; from hot_from on, the
+    prefix's n-grams are in over ``hot`` documents; rare is the share of it, in thousandths, that no
+    frequent n-gram fills. A copy's own words come first in its prefix, so of a group of copies the
+    one that they all stem from, which is nearest to each, has the least of them."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
         for batch in batches:
-            sizes, classes, prefixes, hots = [], [], [], []
+            sizes, classes, prefixes, hots, rares = [], [], [], [], []
             for i in range(batch.num_rows):
                 own = ngram_set(batch.column(2)[i].as_py(), n)
                 size = len(own)
@@ -109,12 +111,13 @@ def _prefixes(docs: DataFrame, n: int, percent: int, table, hot: int) -> DataFra
                 order = np.lexsort((own, count))[:take]
                 prefixes.append(own[order].view(np.int64))
                 hots.append(int((count[order] <= hot).sum()))
+                rares.append(int(1000 * (count[order] == 0).sum() / take) if take else 0)
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             values = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(hots, pa.int32())], names=["doc_id", "k", "n", "c", "prefix", "hot_from"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(hots, pa.int32()), pa.array(rares, pa.int32())], names=["doc_id", "k", "n", "c", "prefix", "hot_from", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, k long, n long, c long, prefix array<long>, hot_from int")
+    return docs.mapInArrow(run, f"doc_id {kind}, k long, n long, c long, prefix array<long>, hot_from int, rare int")
 
 
 def _possible(nx: Column, ny: Column, i: Column, j: Column, percent: int) -> Column:
@@ -187,14 +190,15 @@ def link(df: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, h
     told = scratch.table(_prefixes(docs, n, percent, frequent(docs, n, scratch), hot))
     filled = told.where("n > 0")
     classes = scratch.table(filled.groupBy("c").agg(F.min("doc_id").alias("label"), F.min("k").alias("k"), F.min("n").alias("n")))
-    posted = filled.select("c", F.col("n").cast("int").alias("n"), "hot_from", F.posexplode("prefix").alias("i", "g"))
-    member = F.struct("c", "n", "i")
+    posted = filled.select("c", F.col("n").cast("int").alias("n"), "rare", "hot_from", F.posexplode("prefix").alias("i", "g"))
+    own = [F.min(x).alias(x) for x in ("n", "i", "rare")]
+    member = F.struct("rare", "c", "n", "i")
     # Common blocks are few and have many rows: sums and a small table. The others are dealt by block,
     # and copies, which are of one class, fall away there.
     by = Window.partitionBy("g")
-    cold = posted.where("i < hot_from").select("g", "c", "n", "i").repartition("g").groupBy("g", "c").agg(F.min("n").alias("n"), F.min("i").alias("i"))
+    cold = posted.where("i < hot_from").select("g", "c", "n", "i", "rare").repartition("g").groupBy("g", "c").agg(*own)
     cold = cold.withColumn("size", F.count("*").over(by)).withColumn("hub", F.min(member).over(by)).where("size > 1")
-    warm = posted.where("i >= hot_from").groupBy("g", "c").agg(F.min("n").alias("n"), F.min("i").alias("i"))
+    warm = posted.where("i >= hot_from").groupBy("g", "c").agg(*own)
     tops = warm.groupBy("g").agg(F.count("*").alias("size"), F.min(member).alias("hub")).where("size > 1")
     columns = ["g", "size", "hub", "c", "n", "i"]
     blocks = scratch.table(cold.select(*columns).unionAll(warm.join(tops, "g").select(*columns)).where("c <> hub.c"))
@@ -213,9 +217,17 @@ def link(df: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, h
     far = scratch.table(far.select("g", "b", "n", "i", "component", F.coalesce("linked", F.lit(False)).alias("linked"), "distance"))
     loose = far.where("not linked").toDF("g", *(f"u_{c}" for c in far.columns[1:]))
     meets = loose.join(far, "g").where("u_component <> component and (linked or u_b < b)")
-    meets = meets.where(F.coalesce(F.abs(F.col("u_distance") - F.col("distance")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
-    meets = meets.where(_possible(F.col("u_n"), F.col("n"), F.col("u_i"), F.col("i"), percent))
-    rest = scratch.table(meets.select(F.col("u_b").alias("a"), F.col("b")).distinct())
+    # Overlaps accumulated over a pair's blocks: up to the last n-gram that both prefixes hold, these
+    # are all they share, and behind it the shorter rest is the most they can.
+    # A pair can meet from either side, here loose and there linked, so it is named by its order.
+    u, v = F.struct(F.col("u_b").alias("c"), F.col("u_n").alias("n"), F.col("u_i").alias("i")), F.struct(F.col("b").alias("c"), "n", "i")
+    apart = F.abs(F.col("u_distance") - F.col("distance")).alias("apart")
+    meets = meets.select("g", F.when(F.col("u_b") < F.col("b"), u).otherwise(v).alias("x"), F.when(F.col("u_b") < F.col("b"), v).otherwise(u).alias("y"), apart)
+    shared = meets.groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(F.count_distinct("g").alias("seen"), F.max("x.i").alias("i"), F.max("y.i").alias("j"), F.min("x.n").alias("n"), F.min("y.n").alias("m"), F.max("apart").alias("apart"))
+    most = F.col("seen") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    shared = shared.where((F.least("n", "m") * 100 >= percent * F.greatest("n", "m")) & (most * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
+    shared = shared.where(F.coalesce(F.col("apart") <= 1 - percent / 100 + 1e-9, F.lit(True)))
+    rest = scratch.table(shared.select("a", "b"))
     if rest.limit(1).count():
         second = _measured(_overlaps(rest, classes, docs, n, scratch), sizes, percent)
         more = second.where("linked").select("a", "b")
