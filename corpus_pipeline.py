@@ -36,9 +36,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one that names it; documents without words all stay."""
+    """One document of each component, the one that names it; documents without words all stay.
+    Documents link whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
     scratch = Scratch(spark)
-    found = scratch.table(link(docs, "doc_id", "text"))
+    found = scratch.table(link(docs, "doc_id", "text", n=5, percent=80))
     worded = found.where("n_shingles > 0")
     stays = worded.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "c").agg(F.min("k").alias("k"))
     stays = stays.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"))

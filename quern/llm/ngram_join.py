@@ -8,7 +8,7 @@
    overlap are discarded; the overlaps of the others are counted over whole sets.
 4. Only what did not link to its hub meets the rest of its block, unless already in one component
    with it or too far from it: as Jaccard distance is a metric, two classes link only if their
-   distances to the hub differ by 0.15 at most. So a group of n near copies costs about n counts,
+   distances to the hub differ by 1 - percent / 100 at most. So a group of n near copies costs about n counts,
    and no link between components is lost.
 """
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as P
@@ -5,7 +6,7 @@ import pytest
 
 from quern.llm.mixing import targets
 
-from .fixtures import documents, words
+from .fixtures import DOCUMENTS, documents, words
 from .test_operators import brute_components
 
 
@@ -29,6 +30,21 @@ def test_near_duplicates_keep_one_of_each_component(spark, sf_dir):
     assert all(kept[d] == 1 for d in (5, 6, 7, 1, 8, 15))
 
 
+def test_near_duplicates_link_at_five_words_and_four_fifths(spark, sf_dir):
+    r = random.Random(12)
+    rows = []
+    for i in range(30):  # copies with one to eight words changed: similarities on both sides of 0.8
+        base = [f"w{i}x{j}" for j in range(100)]
+        rows.append((2 * i, " ".join(base), "en", "a", 1))
+        for j in r.sample(range(100), 1 + i % 8):
+            base[j] = "other"
+        rows.append((2 * i + 1, " ".join(base), "en", "a", 1))
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    kept = {r["doc_id"] for r in P.near_duplicates(spark, df, sf_dir).collect()}
+    named = lambda n, percent: {c for _, _, c in brute_components(rows, n, percent)}
+    assert kept == named(5, 80) != named(4, 85)
+
+
 def test_mixed_documents_hold_what_the_mix_takes(spark, sf_dir):
     df, rows = documents(spark)
     df = df.where("doc_id is not null and doc_id not in (14, 15)")
