@@ -25,8 +25,8 @@ def _side(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of their own lines."""
-    return quality(docs, "doc_id", "text", "source").where("kept").select(*docs.columns)
+    """Documents that pass the base rules and keep lines of their own when boilerplate blocks go."""
+    return quality(docs, "doc_id", "text", "source", blocks=True).where("kept").select(*docs.columns)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

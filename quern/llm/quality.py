@@ -3,8 +3,9 @@
 A line is boilerplate of its host when many of the host's documents hold it (by hash of the
 normalised line) *and* it stands there in changing company: neither the line before it nor the one
 after it is the same in at least half of them. Lines of copies keep their company, so copies, exact
-or near, are left to the operators made for them. Boilerplate is removed, and a document that
-has too little left is rejected.
+or near, are left to the operators made for them. With ``blocks``, company is judged by whole runs of
+lines that keep it: all lines of a run are boilerplate if what stands around the run changes, so a
+fixed menu goes as one. Boilerplate is removed, and a document that has too little left is rejected.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.graph import components
+
 from .common import Scratch
 
 #: Characters that count as symbols.
@@ -66,9 +69,13 @@ def _document_lines(df: DataFrame, key: list[str], text: str, host: str) -> Data
     return rows.select(*key, "_host", F.explode(each).alias("l")).select(*key, "_host", "l.*")
 
 
-def boilerplate(df: DataFrame, text: str, host: str, scratch: Scratch, min_docs: int = 10, same_company: float = 0.5, broadcast_rows: int = 200_000) -> DataFrame:
+def boilerplate(df: DataFrame, text: str, host: str, scratch: Scratch, min_docs: int = 10, same_company: float = 0.5, broadcast_rows: int = 200_000, blocks: bool = False) -> DataFrame:
     """Lines (_host, line) that at least ``min_docs`` documents of a host hold in changing company.
 
+    With ``blocks``, a line and the one after it are of one block if each is the other's neighbour in
+    at least ``same_company`` of its documents; lines whose block has one in changing company are
+    added.
+
     Rows with equal host and text count as one document. Counting is by partial sums on each side of
     the shuffle, so a line that a third of all documents share reaches a task as one row a partition.
     """
@@ -84,24 +91,34 @@ def boilerplate(df: DataFrame, text: str, host: str, scratch: Scratch, min_docs:
     total = None
     for side in ("before", "after"):
         by = once.groupBy("_host", "line", F.col(side)).count().groupBy("_host", "line")
-        by = by.agg(F.sum("count").alias("docs"), F.max("count").alias(f"same_{side}"))
+        by = by.agg(F.sum("count").alias("docs"), F.max("count").alias(f"same_{side}"), F.max(F.struct("count", side))[side].alias(side))
         total = by if total is None else total.join(by.drop("docs"), ["_host", "line"])
     changing = (F.col("same_before") < same_company * F.col("docs")) | (F.col("same_after") < same_company * F.col("docs"))
-    return scratch.table(total.where((F.col("docs") >= min_docs) & changing).select("_host", "line"))
-
-
-def quality(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 10, left: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
+    total = total.where(F.col("docs") >= min_docs)
+    if not blocks:
+        return scratch.table(total.where(changing).select("_host", "line"))
+    node = lambda line: F.xxhash64("_host", line)
+    told = scratch.table(total.select("_host", "line", node("line").alias("node"), changing.alias("changing"), *(F.when(F.col(f"same_{s}") >= same_company * F.col("docs"), node(s)).alias(s) for s in ("before", "after"))))
+    ahead = told.where("after is not null").select(F.col("node").alias("a"), F.col("after").alias("b"))
+    links = ahead.join(told.where("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")), ["a", "b"])
+    own = told.join(components(links, scratch), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    loose = own.where("changing").select("component").distinct()
+    return scratch.table(own.join(loose, "component", "left_semi").select("_host", "line"))
+
+
+def quality(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int = 10, left: float = 0.3, broadcast_rows: int = 200_000, blocks: bool = False) -> DataFrame:
     """``df`` with its counts, base_failed, n_boilerplate_words and kept.
 
     base_failed: under 10 words, or over 20 % of them in repeated 5-word windows. kept is false if
     that holds, or if less than ``left`` of the words stay when the host's boilerplate lines go. A
     null text has no words and no lines; a null host is a host of its own. Rows with equal id, host
     and text get equal results; none is dropped. An empty table gives an empty one. Columns of the
-    result's names are replaced; others, whatever their names, are untouched.
+    result's names are replaced; others, whatever their names, are untouched. ``blocks``: see
+    ``boilerplate``.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
-    frequent = boilerplate(df, text, host, scratch, min_docs, broadcast_rows=broadcast_rows)
+    frequent = boilerplate(df, text, host, scratch, min_docs, broadcast_rows=broadcast_rows, blocks=blocks)
     small = frequent.count() <= broadcast_rows
     keys = df.select(F.xxhash64(F.col(doc_id), F.col(host), F.col(text)).alias("_key"), text, host)
     lines = _document_lines(keys, ["_key"], text, host)

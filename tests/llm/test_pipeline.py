@@ -6,7 +6,7 @@ import pytest
 
 from quern.llm.mixing import targets
 
-from .fixtures import DOCUMENTS, documents, words
+from .fixtures import DOCUMENTS, documents, prose, words
 from .test_operators import brute_components
 
 
@@ -19,6 +19,18 @@ def sf_dir(spark, tmp_path_factory):
     return d
 
 
+def test_documents_of_menu_and_footer_go_and_copies_stay(spark, sf_dir):
+    r = random.Random(21)
+    line = lambda k: f"{prose(r, 6)} fixed line {'abcdefghijklmnopqrstuvwxyz'[k]}"
+    menu, footer, page = [line(k) for k in range(8)], [line(8 + k) for k in range(8)], [line(16 + k) for k in range(9)]
+    rows = [(i, "\n".join([*menu, *(f"{prose(r, 2)} u{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k)}" for k in range(1 + i % 3)), *footer]), "en", "h", 1) for i in range(60)]
+    rows += [(100 + i, "\n".join([*menu, prose(r, 120), *footer]), "en", "h", 1) for i in range(20)]
+    # Near copies that differ in one line each, nowhere the same, between fixed ends.
+    rows += [(200 + i, "\n".join([*page[: i % 7 + 1], f"changed {chr(97 + i)} word here", *page[i % 7 + 2 :]]), "en", "k", 1) for i in range(14)]
+    got = {r["doc_id"] for r in P.quality_rules(spark, spark.createDataFrame(rows, DOCUMENTS), sf_dir).collect()}
+    assert got == {*range(100, 120), *range(200, 214)}
+
+
 def test_near_duplicates_keep_one_of_each_component(spark, sf_dir):
     df, rows = documents(spark)
     got = P.near_duplicates(spark, df, sf_dir)
