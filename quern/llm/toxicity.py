@@ -64,6 +64,28 @@ def _sure(gain: np.ndarray, seen: np.ndarray, expected: np.ndarray, z: float = 3
     return gain * np.maximum(1 - z * z / np.maximum(surprise, 1e-9), 0)
 
 
+def _evidence(gains: np.ndarray) -> tuple[float, float]:
+    """Of a whole text, and of its most toxic stretch."""
+    if not len(gains):
+        return 0.0, 0.0
+    whole = float(gains.sum()) / (len(gains) + PRIOR)
+    if len(gains) <= STRETCH:
+        return whole, float(gains.sum()) / (STRETCH + PRIOR)
+    run = np.concatenate(([0.0], np.cumsum(gains)))
+    return whole, float((run[STRETCH:] - run[:-STRETCH]).max()) / (STRETCH + PRIOR)
+
+
+def _logistic(evidence: np.ndarray, label: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights of the logistic function by Newton steps with a slight ridge."""
+    x = np.column_stack((np.ones(len(label)), evidence))
+    w = np.zeros(3)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3) * len(label) / 100
+        w += np.linalg.solve(h, x.T @ (label - p) - 1e-3 * w * len(label) / 100)
+    return w
+
+
 class Model:
     """Tables of the words and pairs that pass the discount in a class, and the scoring by them."""
 
@@ -115,37 +137,150 @@ class Model:
         return out
 
     def evidence(self, text: str | None) -> tuple[float, float]:
-        gains = self.gains(text)
-        if not len(gains):
-            return 0.0, 0.0
-        whole = float(gains.sum()) / (len(gains) + PRIOR)
-        if len(gains) <= STRETCH:
-            return whole, float(gains.sum()) / (STRETCH + PRIOR)
-        run = np.concatenate(([0.0], np.cumsum(gains)))
-        return whole, float((run[STRETCH:] - run[:-STRETCH]).max()) / (STRETCH + PRIOR)
-
-    def fit(self, evidence: np.ndarray, label: np.ndarray, rounds: int = 50) -> None:
-        """Weights of the logistic function by Newton steps with a slight ridge."""
-        x = np.column_stack((np.ones(len(label)), evidence))
-        w = np.zeros(3)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3) * len(label) / 100
-            w += np.linalg.solve(h, x.T @ (label - p) - 1e-3 * w * len(label) / 100)
-        self.weights = w
+        return _evidence(self.gains(text))
 
     def score(self, text: str | None) -> float:
         a, b = self.evidence(text)
         return float(1 / (1 + np.exp(-np.clip(self.weights @ (1.0, a, b), -30, 30))))
 
 
-def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1_000_000, calibration_rows: int = 20_000) -> Model | None:
+class Tables:
+    """The same model where it is too large to broadcast: gains of words (k, gain) and of pairs (a, b,
+    gain) are tables, joined with the words of the texts. The ``most`` commonest words are looked up
+    where the texts are read, so no task gets all places of a common one."""
+
+    def __init__(self, counted: DataFrame, words: DataFrame, totals: list[int], discounts: list[float], most: int, scratch: Scratch):
+        self.scratch, self.weights = scratch, np.array([-3.0, 1.0, 1.0])
+        every, spans = max(sum(totals), 1), [max(t, 1) for t in totals]
+        words = scratch.table(words)
+        pairs = _pair_counts(counted)
+        for side in ("a", "b"):
+            pairs = pairs.join(words.select(F.col("k").alias(side)), side, "left_semi")
+        pairs = scratch.table(pairs)
+        after = pairs.groupBy(F.col("b").alias("k")).agg(F.count("*").alias("after"))
+        words = scratch.table(words.join(after, "k", "left").withColumn("after", F.coalesce("after", F.lit(0))))
+        size, behind, *lost = words.agg(F.count("*"), F.sum("after"), *(F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(discounts[c]))) for c in (0, 1))).first()
+        both, shared = F.col("n0") + F.col("n1"), (F.col("after") + 1.0) / float((behind or 0) + (size or 1))
+        p = [(F.greatest(F.col(f"n{c}") - discounts[c], F.lit(0.0)) + float(lost[c] or 0) * shared) / spans[c] + 1e-12 for c in (0, 1)]
+        words = words.select("k", "n0", "n1", (both / every).alias("pooled"), p[0].alias("p0"), p[1].alias("p1"))
+        self.words = words.withColumn("gain", _sure_column(F.log(F.col("p1") / F.col("p0")), F.col("n1"), both * float(totals[1]) / every))
+        self.words = scratch.table(self.words.withColumn("n", both))
+
+        kept = pairs.where((F.col("n0") > discounts[0]) | (F.col("n1") > discounts[1])).select("a", "b", F.col("n0").alias("m0"), F.col("n1").alias("m1"))
+        first = self.words.select(F.col("k").alias("a"), "n0", "n1")
+        second = self.words.select(F.col("k").alias("b"), (F.col("p0") / F.col("pooled")).alias("r0"), (F.col("p1") / F.col("pooled")).alias("r1"), F.col("gain").alias("own"))
+        kept = kept.join(first, "a")
+        kept = kept.withColumns({f"over{c}": F.greatest(F.col(f"m{c}") - discounts[c], F.lit(0.0)) / F.greatest(F.col(f"n{c}"), F.lit(1)) for c in (0, 1)})
+        kept = scratch.table(kept.join(second, "b"))
+        taken = kept.groupBy("a").agg(F.sum("over0").alias("taken0"), F.sum("over1").alias("taken1"))
+        m = F.col("m0") + F.col("m1")
+        together = m / F.greatest(F.col("n0") + F.col("n1"), F.lit(1))
+        high = [F.col(f"over{c}") + F.greatest(1 - F.col(f"taken{c}"), F.lit(0.0)) * together * F.col(f"r{c}") + 1e-12 for c in (0, 1)]
+        expected = [float(totals[c]) * F.col(f"r{c}") for c in (0, 1)]
+        expected = m * expected[1] / F.greatest(expected[0] + expected[1], F.lit(1e-12))
+        gain = F.col("own") + _sure_column(F.log(high[1] / high[0]) - F.col("own"), F.col("m1"), expected)
+        self.pairs = scratch.table(kept.join(taken, "a").select("a", "b", gain.alias("gain")))
+        least = 1
+        while (common := self.words.where(F.col("n") >= least)).count() > most:
+            least *= 2
+        got = common.select("k", "gain").toPandas()
+        order = np.argsort(k := got["k"].to_numpy(np.int64).view(np.uint64))
+        self.common = counted.sparkSession.sparkContext.broadcast((k[order], got["gain"].to_numpy(float)[order]))
+
+    def evidence(self, texts: DataFrame) -> DataFrame:
+        """(_t, _u, a, b), written: evidence of each distinct text of ``texts`` (text) by two hashes of
+        it. Texts without any are left out: theirs is 0."""
+        common = self.common
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, gains = common.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids = _ids(batch.column(2)[i].as_py())
+                    if not len(ids):
+                        continue
+                    before = np.concatenate((ids[:1], ids[:-1]))  # the first word has none: see `start`
+                    start = np.arange(len(ids)) == 0
+                    order = np.lexsort((np.arange(len(ids)), ids, before, start))
+                    a, b, s = before[order], ids[order], start[order]
+                    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1]))))
+                    a, b, s = a[new], b[new], s[new]
+                    own = np.zeros(len(b))
+                    hit = np.zeros(len(b), bool)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+                        hit = known[at] == b
+                        own[hit] = gains[at[hit]]
+                    spots = pa.ListArray.from_arrays(pa.array(np.append(new, len(ids)).astype(np.int32)), pa.array(order.astype(np.int32)))
+                    rows = len(b)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * rows, pa.int64()), pa.array([batch.column(1)[i].as_py()] * rows, pa.int64()), pa.array([len(ids)] * rows, pa.int32()), pa.array(a.view(np.int64), mask=s), pa.array(b.view(np.int64)), spots, pa.array(own, mask=~hit)], names=["_t", "_u", "n", "a", "b", "spots", "own"])
+
+        once = texts.where("text is not null").select(*_text_keys(F.col("text")), "text").groupBy("_t", "_u").agg(F.first("text").alias("text"))
+        found = self.scratch.table(once.mapInArrow(places, "_t long, _u long, n int, a long, b long, spots array<int>, own double"))
+        rare = found.where("own is null").drop("own").join(self.words.select(F.col("k").alias("b"), F.col("gain").alias("own")), "b", "left")
+        found = found.where("own is not null").unionByName(rare.select(*found.columns))
+        found = found.join(self.pairs, ["a", "b"], "left").withColumn("gain", F.coalesce("gain", "own", F.lit(0.0))).where("gain <> 0")
+        found = found.groupBy("_t", "_u").agg(F.first("n").alias("n"), F.collect_list(F.struct("spots", "gain")).alias("of"))
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for n, of in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    gains = np.zeros(n)
+                    for x in of:
+                        gains[x["spots"]] = x["gain"]
+                    out.append(_evidence(gains))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in out], pa.float64()) for i in (0, 1))], names=["_t", "_u", "a", "b"])
+
+        return self.scratch.table(found.mapInArrow(summed, "_t long, _u long, a double, b double"))
+
+    def scores(self, df: DataFrame, text: str, column: str, broadcast_rows: int = 400_000) -> DataFrame:
+        own = F.col(text).cast("string")
+        w = [float(x) for x in self.weights]
+        told = self.evidence(df.select(own.alias("text")))
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), w[0] + w[1] * F.col("a") + w[2] * F.col("b")))))
+        told = told.select("_t", "_u", score.alias("_score"))
+        start = 1 / (1 + np.exp(-np.clip(w[0], -30, 30)))
+        small = told.limit(broadcast_rows + 1).count() <= broadcast_rows
+        columns = [c for c in df.columns if c != column]
+        rows = df.withColumns(dict(zip(("_t", "_u"), _text_keys(own)))).join(F.broadcast(told) if small else told, ["_t", "_u"], "left")
+        score = F.coalesce("_score", F.lit(float(start))).alias(column)
+        return rows.select(*([score if c == column else F.col(f"`{c}`") for c in df.columns] if column in df.columns else [*(F.col(f"`{c}`") for c in columns), score]))
+
+
+def _text_keys(text) -> list:
+    return [F.xxhash64(text).alias("_t"), F.xxhash64(F.lit(7), text).alias("_u")]
+
+
+def _sure_column(gain, seen, expected, z: float = 3.0):
+    """``_sure`` of columns."""
+    seen = seen.cast("double")
+    surprise = 2 * (seen * F.log(F.greatest(seen, F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9))) - (seen - expected))
+    return gain * F.greatest(1 - z * z / F.greatest(surprise, F.lit(1e-9)), F.lit(0.0))
+
+
+def _pair_counts(train: DataFrame) -> DataFrame:
+    """(a, b, n0, n1): documents of each class that hold word b right after word a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = _ids(text)
+                pairs = np.unique(np.rec.fromarrays((ids[:-1], ids[1:]), names="a,b"))
+                rows = len(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs["a"]).view(np.int64)), pa.array(np.ascontiguousarray(pairs["b"]).view(np.int64)), pa.array([int(label == 0)] * rows, pa.int64()), pa.array([int(label == 1)] * rows, pa.int64())], names=["a", "b", "n0", "n1"])
+
+    got = train.select("text", "label").mapInArrow(run, "a long, b long, n0 long, n1 long")
+    return got.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1_000_000, calibration_rows: int = 20_000) -> Model | Tables | None:
     """The model of ``train`` (key, text, label 0/1, calibrate): counts cover every row that is not
     to calibrate; of those that are, the first ``calibration_rows`` by hash fit the logistic function.
 
-    ``discount`` is in counts of the smaller class. It doubles until at most ``most`` words and as
-    many pairs pass it, which bounds the model; the counts themselves grow with the input. Returns
-    None if a class has no words.
+    ``discount`` is in counts of the smaller class. If at most ``most`` words and as many pairs pass
+    it, the model is broadcast; a larger one stays in tables and is joined (see ``Tables``), with the
+    same scores. Returns None if a class has no words.
     """
     counted = train.where("not calibrate")
     words = scratch.table(_counts(counted, _ids).where("n0 + n1 > 1"))
@@ -154,12 +289,26 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
         return None
     share = [t / min(totals) for t in totals]
 
-    def passing(df: DataFrame, d: float) -> tuple[DataFrame, float]:
-        while (kept := df.where((F.col("n0") > d * share[0]) | (F.col("n1") > d * share[1]))).count() > most:
-            d *= 2
-        return kept, d
-
-    kept, d = passing(words, discount)
+    discounts = [discount * s for s in share]
+    passing = (F.col("n0") > discounts[0]) | (F.col("n1") > discounts[1])
+    rows = train.where("calibrate")
+    ids = rows.select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(calibration_rows).select("key").distinct()
+    rows = rows.join(F.broadcast(ids), "key", "left_semi")
+
+    def calibrated(model, seen: DataFrame):
+        seen = seen.select("key", "label", "a", "b").toPandas().sort_values(["key", "a", "b"])
+        if seen["label"].nunique() == 2:
+            model.weights = _logistic(seen[["a", "b"]].to_numpy(float), seen["label"].to_numpy(float))
+        return model
+
+    def in_tables() -> Tables:
+        model = Tables(counted, kept, totals, discounts, most, scratch)
+        seen = rows.select("key", "label", "text", *_text_keys(F.col("text"))).join(model.evidence(rows.select("text")), ["_t", "_u"], "left")
+        return calibrated(model, seen.withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("a", "b")}))
+
+    kept = words.where(passing)
+    if kept.limit(most + 1).count() > most:
+        return in_tables()
     got = kept.orderBy("k").toPandas()
     vocabulary = got["k"].to_numpy().view(np.uint64)
     size = len(vocabulary)
@@ -179,12 +328,12 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     before = pairs.groupBy((F.col("k") % max(size, 1)).alias("w")).count().toPandas()
     continuation = np.zeros(size)
     continuation[before["w"].to_numpy(int)] = before["count"].to_numpy(float)
-    kept_pairs, d = passing(pairs, d)
+    kept_pairs = pairs.where(passing)
+    if kept_pairs.limit(most + 1).count() > most:
+        return in_tables()
     own = kept_pairs.orderBy("k").toPandas()
-    model = Model(vocabulary, got[["n0", "n1"]].to_numpy(), totals, own["k"].to_numpy(np.int64), own[["n0", "n1"]].to_numpy(), [d * s for s in share], continuation)
+    model = Model(vocabulary, got[["n0", "n1"]].to_numpy(), totals, own["k"].to_numpy(np.int64), own[["n0", "n1"]].to_numpy(), discounts, continuation)
     sent = words.sparkSession.sparkContext.broadcast(model)
-    rows = train.where("calibrate")
-    ids = rows.select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(calibration_rows).select("key").distinct()
 
     @F.arrow_udf("struct<a double, b double>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -192,10 +341,7 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
             got = [sent.value.evidence(x) for x in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([x[i] for x in got], pa.float64()) for i in (0, 1)], names=["a", "b"])
 
-    seen = rows.join(F.broadcast(ids), "key", "left_semi").select("key", "label", evidence("text").alias("e")).select("key", "label", "e.a", "e.b").toPandas().sort_values(["key", "a", "b"])
-    if seen["label"].nunique() == 2:
-        model.fit(seen[["a", "b"]].to_numpy(float), seen["label"].to_numpy(float))
-    return model
+    return calibrated(model, rows.select("key", "label", evidence("text").alias("e")).select("key", "label", "e.a", "e.b"))
 
 
 def order_of(vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +360,9 @@ def toxicity(df: DataFrame, text: str, train: DataFrame, column: str = "score",
     model = fit(train, scratch, **options)
     if model is None:
         return df.withColumn(column, F.lit(0.0))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: see `most`
+    if isinstance(model, Tables):
+        return model.scores(df, text, column)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of at most `most` words and pairs
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

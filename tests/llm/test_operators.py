@@ -211,6 +211,29 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert toxicity(docs.limit(0), "text", labelled(docs, marks)).count() == 0
 
 
+def test_toxicity_is_the_same_when_the_model_is_not_broadcast(spark):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(500):
+        w = prose(r, 50).split()
+        bad = r.random() < 0.3
+        for _ in range(2 * bad):
+            w[r.randrange(len(w))] = r.choice(("vilo grubo", "the slimo", f"rare{r.randrange(12)}"))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    rows += [(9001, None), (9002, ""), (9003, "vilo"), (9004, "unknown words"), (9005, rows[3][1]), (9005, rows[3][1]), (None, "grubo vilo grubo rare3")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    train = labelled(docs, marks)
+    whole = toxicity(docs, "text", train).collect()
+    for most in (10, 150):  # words and pairs, or pairs alone, are too many to broadcast
+        got = toxicity(docs.withColumn("score", F.lit("x")), "text", train, most=most)
+        assert got.columns == ["doc_id", "text", "score"]
+        key = lambda x: (x["doc_id"] or -1, x["text"] or "")
+        pairs = list(zip(sorted(whole, key=key), sorted(got.collect(), key=key), strict=True))
+        assert all(key(a) == key(b) and abs(a["score"] - b["score"]) < 1e-9 for a, b in pairs)
+    assert max(x["score"] for x in whole) > 0.5 > min(x["score"] for x in whole)
+
+
 def test_gru_gradients_are_those_of_its_loss():
     model = BiGRU(3, hidden=5)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
