@@ -53,6 +53,12 @@ def words_tokens(x: Fixtures) -> DataFrame:
     return x.files(True).select("id", T.words(F.col("name")).alias("name_words"), T.words(F.substring("text", 1, 2000)).alias("body_words"))
 
 
+@query(f"{FILES} SELECT id, {duck_words('text')} AS body_words FROM f")
+def body_words(x: Fixtures) -> DataFrame:
+    """Words of whole bodies; those of ``words_tokens`` are of the first 2,000 characters, as its SQL has them."""
+    return x.files(True).select("id", T.words(F.col("text")).alias("body_words"))
+
+
 @query(f"{FILES} SELECT kind, level, count(*) AS n, sum(size) AS bytes FROM f GROUP BY ALL")
 def kind_classify(x: Fixtures) -> DataFrame:
     return x.files().groupBy("kind", "level").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,30 @@ def test_text_functions(spark):
     assert column(spark, ["\n  a\t b \n c", "", " \n "], T.first_line) == ["a b", None, None]
 
 
+def test_body_words_are_those_of_whole_texts(spark, tmp_path):
+    r = random.Random(6)
+    parts = ["myBackupScript", "v2", "报销", "x9Y", "é", "ÀbÇd", "-", "_", "\n", " ", "4", "Q", "词"]
+    texts = ["".join(r.choices(parts, k=2500)), "a" * 1999 + " camelCase" * 300 + " last7", "short one", "", None, "。" * 3000]
+    rows = [(i, t, "en", "src1", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def words(text):  # a character at a time, as the reference does
+        out, prev = "", None
+        for c in text:
+            if "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff":
+                out, prev = f"{out} {c} ", None
+            elif c.isalnum():
+                edge = prev and ((prev.islower() and c.isupper()) or prev.isnumeric() != c.isnumeric())
+                out, prev = out + " " * bool(edge) + c, c
+            else:
+                out, prev = out + " ", None
+        return " ".join(out.split())
+
+    got = {r["id"]: r["body_words"] for r in Q.QUERIES["body_words"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else words(t) for i, t in enumerate(texts)}
+    assert got[1].endswith(" last 7")
+
+
 def test_kinds(spark):
     rows = [("a.pdf", "pdf", False), ("id_rsa", "", False), (".env.example", "example", False), (".env.local", "local", False), ("x.sh", "sh", True), ("x.sh", "sh", False), ("x.unknown", "unknown", False)]
     df = spark.createDataFrame(rows, "name string, ext string, p boolean")
