@@ -1,13 +1,14 @@
 """URL filters: rules by host and path, and a path-template tree judged by labelled purity.
 
-DataFrame functions only. Per host the tree grows a segment at a time. A segment stays literal under
-its parent if it is neither a number nor rare there; all others become a wildcard. Literal branches
-of one parent whose rates of bad labels do not differ significantly merge into one template.
+DataFrame functions only. Per host the tree grows a segment at a time, until no template can split. A
+segment stays literal under its parent if it is neither a number nor in few rows; all others become a
+wildcard. Literal branches of one parent whose rates of bad labels do not differ significantly merge
+into one template.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -41,42 +42,69 @@ def _joined(rows: DataFrame, side: DataFrame, on: list[str], broadcast_rows: int
     return rows.join(F.broadcast(side) if small else side, on, "left")
 
 
-def templates(df: DataFrame, key: str, host: str, path: str, bad: str, scratch: Scratch, depth: int = 4, min_share: float = 0.05, min_count: int = 20, z: float = 1.96, broadcast_rows: int = 100_000) -> DataFrame:
-    """(key, _template) of every row. Segments from ``depth`` on are one wildcard, ``**``.
+def templates(df: DataFrame, key: str, host: str, path: str, bad: str, scratch: Scratch, depth: int = 4, min_count: int = 20, z: float = 1.96, broadcast_rows: int = 100_000) -> DataFrame:
+    """(key, _template, _bad) of every row. ``bad`` is 1, 0 or null (no label).
 
-    A segment is literal where it has at least ``min_count`` rows and ``min_share`` of its parent's,
-    so a parent has 1 / min_share literal branches at most. ``bad`` is 1, 0 or null (no label).
+    A segment is literal where it has at least ``min_count`` rows, whatever its share. From ``depth``
+    segments on, a template grows while it can split: while it has ``min_count`` rows that go on, and
+    labels of both kinds among them. What is behind is one wildcard, ``**``.
     """
     segments = F.array_remove(F.split(F.col(path), "/"), "")
     rows = df.select(key, F.col(host).alias("_template"), segments.alias("_segments"), F.col(bad).cast("int").alias("_bad"))
-    for level in range(depth):
+    level, done = 0, []
+    while True:
+        if level >= depth:
+            rows = scratch.table(rows)
+            more = F.size("_segments") > level
+            split = rows.where(more).groupBy("_template").agg(F.count("*").alias("n"), F.min("_bad").alias("least"), F.max("_bad").alias("most"))
+            split = scratch.table(split.where((F.col("n") >= min_count) & (F.col("least") < F.col("most"))).select("_template", F.lit(True).alias("_grows")))
+            rows = _joined(rows, split, ["_template"], broadcast_rows).withColumn("_grows", F.coalesce("_grows", F.lit(False)) & more)
+            rest = F.when(more, "/**").otherwise("")
+            done.append(rows.where("not _grows").select(key, F.concat("_template", rest).alias("_template"), "_bad"))
+            if not split.limit(1).count():
+                break
+            rows = rows.where("_grows").drop("_grows")
         rows = rows.withColumn("_segment", F.get("_segments", F.lit(level)))
         counts = rows.where("_segment is not null").groupBy("_template", "_segment").agg(F.count("*").alias("n"), F.count("_bad").alias("labelled"), F.sum("_bad").alias("bads"))
         number = F.col("_segment").rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$|^[0-9a-fA-F-]{16,}$")
-        # Only branches with min_count rows can stay, so the sum over a parent is all that windows add.
-        parent = counts.groupBy("_template").agg(F.sum("n").alias("all"))
-        own = counts.where(~number & (F.col("n") >= min_count)).join(parent, "_template").where(F.col("n") >= min_share * F.col("all"))
-        literal = scratch.table(merged(own, z))
+        literal = scratch.table(merged(scratch.table(counts.where(~number & (F.col("n") >= min_count))), z))
         rows = _joined(rows, literal, ["_template", "_segment"], broadcast_rows)
         step = F.when(F.col("_segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("_branch", F.lit("*"))))
         rows = rows.select(key, F.concat("_template", step).alias("_template"), "_segments", "_bad")
-    rest = F.when(F.size("_segments") > depth, "/**").otherwise("")
-    return rows.select(key, F.concat("_template", rest).alias("_template"), "_bad")
-
-
-def merged(own: DataFrame, z: float) -> DataFrame:
-    """(_template, _segment, _branch): neighbours by bad rate share a branch, named by its segments,
-    while their rates differ by less than ``z`` standard errors of the pooled rate."""
-    labelled, bads = F.col("labelled"), F.coalesce("bads", F.lit(0))
-    by = Window.partitionBy("_template").orderBy("_rate", "_segment")
-    rows = own.withColumn("_rate", (bads + 1) / (labelled + 2))
-    before = lambda c: F.lag(c).over(by)
-    pooled = (bads + before(bads) + 1) / (labelled + before(labelled) + 2)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / (labelled + 1) + 1 / (before(labelled) + 1)))
-    rows = rows.withColumn("_new", F.coalesce((F.col("_rate") - before("_rate") >= z * error).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_group", F.sum("_new").over(by))
-    whole = Window.partitionBy("_template", "_group")
-    return rows.select("_template", "_segment", F.array_join(F.sort_array(F.collect_set("_segment").over(whole)), "|").alias("_branch"))
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def merged(own: DataFrame, z: float, named: int = 20) -> DataFrame:
+    """(_template, _segment, _branch): in the order of their bad rates, segments join a branch while
+    their rate differs from the whole branch's by less than ``z`` standard errors of the pooled rate;
+    ``z`` widens with the segments that are tested, as chance sets some of many apart.
+
+    Segments with equal labels are one step, so a parent's steps grow far slower than its segments.
+    A branch is named by its segments, one of over ``named`` by the first and the number of others.
+    """
+    own = own.withColumn("bads", F.coalesce("bads", F.lit(0))).withColumn("_rate", (F.col("bads") + 1) / (F.col("labelled") + 2))
+    alike = own.groupBy("_template", "_rate", "labelled", "bads").agg(F.count("*").alias("k"))
+    steps = alike.groupBy("_template").agg(F.sort_array(F.collect_list(F.struct("_rate", "labelled", "bads", "k"))).alias("steps"), F.sum("k").alias("all"))
+    wide = F.sqrt(F.lit(z * z) + 2 * F.log(F.col("all")))
+
+    def step(a: Column, x: Column) -> Column:
+        pooled = (x["bads"] + a["b"] + 1) / (x["labelled"] + a["l"] + 2)
+        error = F.sqrt(pooled * (1 - pooled) * (1 / (x["labelled"] + 1) + 1 / (a["l"] + 1)))
+        new = (F.size(a["starts"]) == 0) | (x["_rate"] - (a["b"] + 1) / (a["l"] + 2) >= wide * error)
+        l, b = x["labelled"] * x["k"], x["bads"] * x["k"]
+        starts = F.when(new, F.concat(a["starts"], F.array(x["_rate"]))).otherwise(a["starts"])
+        return F.struct(F.when(new, l).otherwise(a["l"] + l).alias("l"), F.when(new, b).otherwise(a["b"] + b).alias("b"), starts.alias("starts"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("b"), F.expr("cast(array() as array<double>)").alias("starts"))
+    starts = steps.select("_template", F.aggregate("steps", zero, step, lambda a: a["starts"]).alias("_starts"))
+    rows = own.join(starts, "_template").select("_template", "_segment", F.size(F.filter("_starts", lambda s: s <= F.col("_rate"))).alias("_group"))
+    names = rows.groupBy("_template", "_group").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("_segment")).alias("of"))
+    name = F.when(F.col("n") <= named, F.array_join("of", "|")).otherwise(F.concat(F.get("of", F.lit(0)), F.lit("|+"), (F.col("n") - 1).cast("string")))
+    return rows.join(names.select("_template", "_group", name.alias("_branch")), ["_template", "_group"]).select("_template", "_segment", "_branch")
 
 
 def judge(df: DataFrame, key: str, url: str, labels: DataFrame, rules: list[tuple[str, str]], least_good: float = 0.5, weight: float = 10.0, broadcast_rows: int = 100_000, **options) -> DataFrame:

@@ -283,6 +283,21 @@ def test_url_rules_and_templates(spark):
     assert judge(df.limit(0), "page_id", "url", labels, RULES).count() == 0
 
 
+def test_small_and_deep_sections_have_their_own_templates(spark):
+    rows, bad = [], []
+    for i in range(40 * 60):  # 40 equal sections, two of them spam; far below a twentieth each
+        rows.append((i, f"http://many.net/s{i % 40}/{i}"))
+        bad.append((i, int(i % 40 in (7, 23))))
+    for i in range(10_000, 10_400):  # sections that differ from the sixth segment on, behind a number
+        rows.append((i, f"http://deep.net/a/b/c/d/{i}/{('spam', 'good')[i % 2]}/x/{i}"))
+        bad.append((i, int(i % 2 == 0)))
+    labels = spark.createDataFrame([x for x in bad if x[0] % 3 == 0], "page_id long, bad int")
+    got = judge(spark.createDataFrame(rows, "page_id long, url string"), "page_id", "url", labels, []).collect()
+    assert len(got) == len(rows)
+    assert all((r["verdict"] == "block") == bool(b) for r, (_, b) in zip(sorted(got, key=lambda r: r["page_id"]), bad))
+    assert {r["template"] for r in got if r["verdict"] == "block"} == {"many.net/s23|s7/*", "deep.net/a/b/c/d/*/spam/**"}
+
+
 @pytest.fixture(scope="module")
 def field():
     return train(list(labelled_pages()))
