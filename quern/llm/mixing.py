@@ -3,7 +3,8 @@
 Slot i of the schedule asks for the source into whose share the i-th golden-ratio point falls, so
 every stretch of the schedule holds the sources in proportion. A slot's rank among those of its
 source is the number of the block it gets: each source's rows, in a hash's order, form one stream of
-tokens that starts anew when it ends, cut into blocks of equal length.
+tokens that starts anew when it ends, cut into blocks of equal length. A source whose target is few
+such blocks has shorter ones of its own, which make up its target exactly, spread evenly over the slots.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def _ranked(df: DataFrame, by: str, amount: Column, total: str, order: list, scr
 @dataclass
 class Mix:
     """rows: every input row with _source (its source's number), size and start in its stream.
-    pieces: (slot, block, _source, _chunk, _place, epoch, start, length): what slots take of rows."""
+    pieces: (slot, block, _source, _chunk, _place, epoch, start, length): what slots take of rows.
+    A slot holds one block of ``block`` tokens, and shorter ones of sources with small targets."""
 
     rows: DataFrame
     pieces: DataFrame
@@ -82,10 +84,12 @@ class Mix:
     block: int
 
 
-def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], scratch: Scratch, most: float = 3.0, blocks: int = 1 << 20, seed: int = 1) -> Mix:
+def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], scratch: Scratch, most: float = 3.0, blocks: int = 1 << 20, seed: int = 1, fine: int = 1024) -> Mix:
     """Mix rows of (key, source, size) to the targets of ``targets``.
 
-    A block has the smallest length for which all tokens make ``blocks`` blocks at most. Rows are cut
+    A block has the smallest length for which all tokens make ``blocks`` blocks at most. A source with
+    a target below ``fine`` blocks takes exactly that target, in ``fine`` shorter blocks at most; the
+    schedule leaves others off theirs by a few of their ``fine`` or more blocks. Rows are cut
     where blocks end, and a source's stream starts anew up to ``most`` times. Rows of size 0 and null
     keys take part like others; equal rows follow each other. All is set by the rows themselves, so
     reruns agree. Sources are few: their totals are read by the driver, one row each.
@@ -108,20 +112,24 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], s
     stream = scratch.table(numbered.withColumn("_place", F.row_number().over(place)))
     placed = scratch.table(_ranked(stream, "_source", F.col(size), "start", ["_place"], scratch, "_chunk").drop("_h", "_order"))
 
-    slots = total // block + (total % block > 0)
+    # Sources of few blocks are not drawn: chance would give them no slot, or one too many.
+    large = [i for i, p in enumerate(plans) if p.target >= fine * block]
+    wide = sum(plans[i].target for i in large)
+    slots = math.ceil(wide / block)
+    exact = {i: n for i, p in enumerate(plans) if i not in set(large) and (n := round(p.target))}
     slot = spark.range(slots).withColumnRenamed("id", "slot")
     # i * GOLDEN mod 2 ** 32 in two halves, so that no product leaves 64 bits at any number of slots.
     low = F.pmod(F.col("slot"), F.lit(POINTS))
     point = F.pmod(F.pmod(F.shiftright(low, 16) * GOLDEN, F.lit(1 << 16)) * (1 << 16) + F.pmod(low, F.lit(1 << 16)) * GOLDEN, F.lit(POINTS))
     drawn = slot.withColumn("point", point)
-    shares = [p for p in enumerate(plans) if p[1].high > p[1].low]
+    highs = [round(sum(plans[i].target for i in large[: n + 1]) / wide * POINTS) for n in range(len(large))]
+    ids = large
     which = F.lit(None).cast("int")
-    if len(shares) <= 64:
-        for i, p in reversed(shares):
-            which = F.when(F.col("point") < p.high, i).otherwise(which)
+    if len(ids) <= 64:
+        for i, high in reversed(list(zip(ids, highs))):
+            which = F.when(F.col("point") < high, i).otherwise(which)
         drawn = drawn.withColumn("_source", which)
     else:
-        highs, ids = [p.high for _, p in shares], [i for i, _ in shares]
 
         @F.pandas_udf("int")
         def find(points):  # a binary search in a table with a row a source
@@ -131,18 +139,24 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], s
     drawn = drawn.withColumn("_run", F.floor(F.col("slot") / max(1, math.isqrt(slots))).cast("int")).select("slot", "_source", "_run")
     ranked = _ranked(drawn, "_source", F.lit(1), "block", ["slot"], scratch, "_run").select("slot", "_source", "block")
 
+    own = {i: -(-n // fine) for i, n in exact.items()}
+    few = spark.createDataFrame([(i, -(-n // own[i])) for i, n in exact.items()], "_source int, _blocks long")
+    few = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    few = few.select(F.floor((2 * F.col("block") + 1) * (slots or fine) / (2 * F.col("_blocks"))).alias("slot"), "_source", "block")
+    ranked = ranked.unionByName(few)
+
     # What a source's slots take of its stream: blocks 0, 1, ... of the stream written ``most`` times.
-    sizes = spark.createDataFrame([(i, p.size) for i, p in enumerate(plans)], "_source int, _size long")
+    sizes = spark.createDataFrame([(i, p.size, own.get(i, block), exact.get(i, int(most * p.size))) for i, p in enumerate(plans)], "_source int, _size long, _block long, _stop long")
     taken = ranked.groupBy("_source").agg(F.max("block").alias("_last")).join(F.broadcast(sizes), "_source")
     epochs = F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))
     again = placed.where(F.col(size) > 0).join(F.broadcast(taken), "_source").withColumn("epoch", F.explode(epochs))
     begin = (F.col("start") + F.col("epoch") * F.col("_size")).alias("_begin")
-    again = again.select("_source", "_chunk", "_place", "epoch", begin, F.col(size).alias("_n"), "_last", "_size")
-    end = F.least(F.col("_begin") + F.col("_n"), (most * F.col("_size")).cast("long"))
-    again = again.withColumn("_end", end).where("_end > _begin").withColumn("_first", F.floor(F.col("_begin") / block)).where("_first <= _last")
-    held = F.sequence(F.col("_first"), F.least(F.floor((F.col("_end") - 1) / block), F.col("_last")))
+    again = again.select("_source", "_chunk", "_place", "epoch", begin, F.col(size).alias("_n"), "_last", "_block", "_stop")
+    end = F.least(F.col("_begin") + F.col("_n"), F.col("_stop"))
+    again = again.withColumn("_end", end).where("_end > _begin").withColumn("_first", F.floor(F.col("_begin") / F.col("_block"))).where("_first <= _last")
+    held = F.sequence(F.col("_first"), F.least(F.floor((F.col("_end") - 1) / F.col("_block")), F.col("_last")))
     cut = again.withColumn("block", F.explode(held))
-    a, b = F.greatest(F.col("_begin"), F.col("block") * block), F.least(F.col("_end"), (F.col("block") + 1) * block)
+    a, b = F.greatest(F.col("_begin"), F.col("block") * F.col("_block")), F.least(F.col("_end"), (F.col("block") + 1) * F.col("_block"))
     cut = cut.select("_source", "_chunk", "_place", "epoch", "block", (a - F.col("_begin")).alias("from"), (b - a).alias("length"))
     pieces = ranked.join(cut, ["_source", "block"])
     return Mix(placed, pieces, plans, block)

@@ -145,6 +145,21 @@ def test_mix_meets_targets_and_repeats(spark):
     assert empty.pieces.count() == 0 and empty.rows.count() == 0
 
 
+def test_mix_meets_small_targets_with_long_blocks(spark):
+    r = random.Random(14)
+    sizes = {"a": 40, "b": 12_000_000, "c": 300, "d": 9_000, "e": 15_000_000, "f": 1}
+    rows = []
+    for s, n in sizes.items():
+        cuts = sorted(r.sample(range(1, n), min(n - 1, 400 if n > 10_000 else 12)))
+        rows += [(len(rows) + i, s, b - a) for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, n]))]
+    own = mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), "doc_id", "source", "size", [1.0, 2.0, 3.0], Scratch(spark), blocks=1 << 14)
+    taken = {x["_source"]: x for x in own.pieces.groupBy("_source").agg(F.sum("length").alias("n"), F.max("slot").alias("last"), F.min("slot").alias("first")).collect()}
+    assert own.block > 1000
+    for i, p in enumerate(own.plans):
+        assert abs(taken[i]["n"] - p.target) <= max(0.005 * p.target, 1), (p, taken[i])
+    assert taken[3]["first"] < 100 and taken[3]["last"] > 0.99 * max(x["last"] for x in taken.values())  # all along the schedule
+
+
 def brute_components(rows, n=4, percent=85):
     sets = []
     for d, t, *_ in rows:
