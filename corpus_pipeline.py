@@ -37,17 +37,23 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one that names it; documents without words all stay.
-    Documents link whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+
+    Documents link whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Null ids
+    name a component only if it has no other, rows that repeat an id and a text are one document, and
+    of several texts with the id that names a component one stays. An empty table gives no rows;
+    other columns, whatever their names, are untouched.
+    """
     scratch = Scratch(spark)
     found = scratch.table(link(docs, "doc_id", "text", n=5, percent=80))
-    worded = found.where("n_shingles > 0")
-    stays = worded.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "c").agg(F.min("k").alias("k"))
-    stays = stays.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"))
-    same = lambda d, k: F.col("doc_id").eqNullSafe(F.col(d)) & F.col("k").eqNullSafe(F.col(k))
-    goes = scratch.table(worded.select("doc_id", "k").distinct().join(stays, same("_d", "_k"), "left_anti").toDF("_d", "_k"))
-    keyed = docs.withColumn("k", F.xxhash64("text"))
-    kept = keyed.join(_side(goes), same("_d", "_k"), "left_anti").drop("k").select(*docs.columns)
-    if worded.groupBy("doc_id", "k").count().where("count > 1").limit(1).count():
+    worded = found.where("n_shingles > 0").select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("k2").alias("_k2"), "c", F.col("component_id").alias("_named"))
+    stays = worded.where(F.col("_d").eqNullSafe(F.col("_named"))).groupBy("_d", "c").agg(F.min(F.struct("_k", "_k2")).alias("_first"))
+    stays = stays.select("_d", "_first._k", "_first._k2")
+    text = lambda a, b: (a["_k"] == b["_k"]) & (a["_k2"] == b["_k2"]) & a["_d"].eqNullSafe(b["_d"])
+    rows = worded.select("_d", "_k", "_k2").distinct()
+    goes = scratch.table(rows.alias("x").join(stays.alias("y"), text({c: F.col(f"x.{c}") for c in rows.columns}, {c: F.col(f"y.{c}") for c in rows.columns}), "left_anti"))
+    own = {"_d": F.col("d.doc_id"), "_k": F.xxhash64("d.text"), "_k2": F.xxhash64(F.lit(7), "d.text")}
+    kept = docs.alias("d").join(_side(goes).alias("g"), text(own, {c: F.col(f"g.{c}") for c in goes.columns}), "left_anti")
+    if worded.groupBy("_d", "_k", "_k2").count().where("count > 1").limit(1).count():
         words = n_words(F.col("text")) > 0
         kept = kept.where(words).dropDuplicates(["doc_id", "text"]).unionAll(kept.where(~words))
     return kept

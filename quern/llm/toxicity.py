@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Scratch
-from .wordids import WordIds
+from .common import Scratch
+from .wordids import LETTERS, word_hashes
 
 #: Words of a stretch, and words that are added to every length so that one word is no proof.
 STRETCH, PRIOR = 24, 4
-_words = WordIds()
 
 
-def _ids(text: str | None) -> np.ndarray:
-    return _words.of(text.encode("utf-8", "surrogatepass").translate(LETTERS).split()) if text else np.empty(0, np.uint64)
+def _ids(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of each text's words: runs of letters, A-Z folded."""
+    for _, words, ends in word_hashes(texts, LETTERS):
+        yield from np.split(words, ends[:-1])
 
 
 def _once(keys: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ def _counts(train: DataFrame, keys_of) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield _summed([_once(keys_of(x)) for x in part.column(0).to_pylist()], part.column(1).to_pylist())
+                yield _summed([_once(keys_of(x)) for x in _ids(part.column(0))], part.column(1).to_pylist())
 
     got = train.select("text", "label").mapInArrow(run, "k long, n0 long, n1 long")
     return got.groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -119,9 +120,8 @@ class Model:
         self.pair_gain = own + _sure(np.log(high[1] / high[0]) - own, m[:, 1], expected)
         self.weights = np.array([-3.0, 1.0, 1.0])
 
-    def gains(self, text: str | None) -> np.ndarray:
+    def gains(self, ids: np.ndarray) -> np.ndarray:
         """Log-likelihood differences of the words of a text, in order."""
-        ids = _ids(text)
         out = np.zeros(len(ids))
         if not len(ids) or not len(self.words):
             return out
@@ -136,12 +136,12 @@ class Model:
             out[both[hit]] = self.pair_gain[j[hit]]
         return out
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        return _evidence(self.gains(text))
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text."""
+        return np.array([_evidence(self.gains(x)) for x in _ids(texts)]).reshape(-1, 2)
 
-    def score(self, text: str | None) -> float:
-        a, b = self.evidence(text)
-        return float(1 / (1 + np.exp(-np.clip(self.weights @ (1.0, a, b), -30, 30))))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.evidence(texts) @ self.weights[1:], -30, 30)))
 
 
 class Tables:
@@ -195,8 +195,7 @@ class Tables:
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, gains = common.value
             for batch in batches:
-                for i in range(batch.num_rows):
-                    ids = _ids(batch.column(2)[i].as_py())
+                for i, ids in enumerate(_ids(batch.column(2))):
                     if not len(ids):
                         continue
                     before = np.concatenate((ids[:1], ids[:-1]))  # the first word has none: see `start`
@@ -264,8 +263,7 @@ def _pair_counts(train: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = _ids(text)
+            for ids, label in zip(_ids(batch.column(0)), batch.column(1).to_pylist()):
                 pairs = np.unique(np.rec.fromarrays((ids[:-1], ids[1:]), names="a,b"))
                 rows = len(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs["a"]).view(np.int64)), pa.array(np.ascontiguousarray(pairs["b"]).view(np.int64)), pa.array([int(label == 0)] * rows, pa.int64()), pa.array([int(label == 1)] * rows, pa.int64())], names=["a", "b", "n0", "n1"])
@@ -283,7 +281,7 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     same scores. Returns None if a class has no words.
     """
     counted = train.where("not calibrate")
-    words = scratch.table(_counts(counted, _ids).where("n0 + n1 > 1"))
+    words = scratch.table(_counts(counted, lambda ids: ids).where("n0 + n1 > 1"))
     totals = [int(x or 0) for x in words.agg(F.sum("n0"), F.sum("n1")).first()]
     if min(totals) == 0:
         return None
@@ -314,8 +312,8 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     size = len(vocabulary)
     shared = words.sparkSession.sparkContext.broadcast(order_of(vocabulary))  # at most `most` words
 
-    def pairs_of(text: str | None) -> np.ndarray:
-        ids, (known, rank) = _ids(text), shared.value
+    def pairs_of(ids: np.ndarray) -> np.ndarray:
+        known, rank = shared.value
         if len(ids) < 2 or not len(known):
             return np.empty(0, np.uint64)
         at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
@@ -338,8 +336,8 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     @F.arrow_udf("struct<a double, b double>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            got = [sent.value.evidence(x) for x in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([x[i] for x in got], pa.float64()) for i in (0, 1)], names=["a", "b"])
+            got = sent.value.evidence(batch)
+            yield pa.StructArray.from_arrays([pa.array(got[:, i], pa.float64()) for i in (0, 1)], names=["a", "b"])
 
     return calibrated(model, rows.select("key", "label", evidence("text").alias("e")).select("key", "label", "e.a", "e.b"))
 
@@ -367,7 +365,7 @@ def toxicity(df: DataFrame, text: str, train: DataFrame, column: str = "score",
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([shared.value.score(x) for x in batch.to_pylist()], pa.float64())
+            yield pa.array(shared.value.scores(batch), pa.float64())
 
     return df.withColumn(column, score(F.col(text).cast("string")))
 

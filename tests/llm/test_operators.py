@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,13 +12,14 @@ from quern.llm.common import Scratch, n_words
 from quern.llm.html_crf import blocks, labelled_pages, main_text, train
 from quern.llm.langid import BiGRU, identify, padded
 from quern.llm.mixing import mix, targets
-from quern.llm.ngram_join import link, ngram_set
+from quern.llm.ngram_join import apart, folded, link
 from quern.llm.packing import Limits, Packer, pack
 from quern.llm.quality import quality, with_counts
 from quern.llm.token_count import token_counts
 from quern.llm.toxicity import labelled, toxicity
 from quern.llm.units import ByteEncoder, PieceCounter
 from quern.llm.url_templates import judge
+from quern.llm.wordids import mixed, ngram_set, ngram_sets
 
 from .fixtures import documents, prose, words
 
@@ -184,6 +186,27 @@ def brute_components(rows, n=4, percent=85):
     return Counter((d, len(a), least.get(find(i)) if a else d) for i, (d, a) in enumerate(sets))
 
 
+def test_hashes_of_whole_columns():
+    r = random.Random(2)
+    texts = [None, "", "a b", "A  B", "a b c d e", " \n", "x" * 3_000_000 + " y z", "q \x0b" * 800_000, "é ÉÀ \u2003 ß", *("".join(r.choices("abAB \n\té", k=r.randrange(60))) for _ in range(300))]
+
+    def brute(x, n):
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or ""))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+    for n in (1, 4, 5):
+        sets, known = list(ngram_sets(pa.array(texts), n)), {}
+        assert [len(s) for s in sets] == [len(brute(x, n)) for x in texts]
+        for s, x in zip(sets, texts):  # equal sets of words have equal hashes, wherever they stand
+            assert known.setdefault(frozenset(brute(x, n)), s.tobytes()) == s.tobytes()
+            assert np.array_equal(s, ngram_set(x, n))
+        assert len(set(known.values())) == len(known)
+    for i in range(0, 300, 2):  # parities never say that sets are further apart than they are
+        a, b = np.unique(np.random.default_rng(i).integers(0, 900, i + 1)), np.unique(np.random.default_rng(i + 1).integers(0, 900, 3 * i + 1))
+        a, b = (mixed(x.astype(np.uint64)) for x in (a, b))
+        assert apart(folded(a), folded(b)) <= len(np.setxor1d(a, b)) and apart(folded(a), folded(a)) == 0
+
+
 def test_ngram_join_matches_brute_force(spark):
     r = random.Random(9)
     extra, words_ = [], prose(r, 90).split()
@@ -195,11 +218,10 @@ def test_ngram_join_matches_brute_force(spark):
     passage = prose(r, 55)
     extra += [(7000 + i, passage + " " + prose(r, r.choice((3, 6, 9, 30))), "en", "a", 1) for i in range(40)]
     df, rows = documents(spark, extra)
-    for hot in (2000, 5):
-        got = link(df.withColumn("k", F.lit(1)).withColumn("c", F.lit(2)), "doc_id", "text", hot=hot)
+    for hot, tile in ((2000, 4096), (5, 7)):
+        got = link(df.withColumn("k", F.lit(1)).withColumn("c", F.lit(2)), "doc_id", "text", hot=hot, tile=tile)
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows)
     assert link(df.limit(0), "doc_id", "text").count() == 0
-    assert len(ngram_set("a b c d a b c d", 4)) == 4 and len(ngram_set("a b", 4)) == 1 and len(ngram_set(" ", 4)) == 0
 
 
 def test_toxicity_learns_and_handles_edges(spark):
