@@ -6,11 +6,12 @@
    The prefixes' columns of the matrix are the blocks; each has a hub, the class with the fewest
    n-grams of its own.
 3. The product is accumulated in folded columns: a class's whole set is kept as the parities of its
-   n-grams in two to four bins an n-gram. Two rows' bins that differ are n-grams that only one of them
-   has, so the overlap has an upper bound, and a pair whose bound is below what the sizes demand is
-   discarded. Few others are not links; their overlaps are counted over whole sets.
+   n-grams in two to four bins an n-gram, and again folded to 512 bins at most (its sketch). Two rows'
+   bins that differ are n-grams that only one of them has, so the overlap has an upper bound, and a pair
+   whose bound is below what the sizes demand is discarded, by sketches first, then by all bins. Few
+   others are not links; their overlaps are counted over whole sets.
 4. Every class meets the hubs of its blocks. Only what did not link to a hub (loose) meets the other
-   classes that share a block with that hub, in tiles of both sides that one task multiplies in numpy:
+   classes of its size that share a block with that hub, in tiles of sketches that one task multiplies in numpy:
    pairs of a tile are never rows, only those that the bound leaves are. As Jaccard distance is a
    metric, pairs whose distances to the hub differ by more than 1 - percent / 100 are left out, and so
    are those of one component. So no link between components is lost, and a group of n copies costs
@@ -89,6 +90,14 @@ def _halved(rows: np.ndarray) -> np.ndarray:
     return (rows ^ (rows >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
 
 
+def sketch(bins: bytes, most: int = 8) -> bytes:
+    """The parities in at most ``most`` 64-bit numbers."""
+    rows = np.frombuffer(bins, np.uint64)
+    while len(rows) > most:
+        rows = _halved(rows)
+    return rows.tobytes()
+
+
 def apart(x: bytes, y: bytes) -> int:
     """A lower bound of the n-grams that only one of two sets has, from their parities."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -100,7 +109,7 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def _told(docs: DataFrame, n: int, percent: int, table, hot: int) -> DataFrame:
-    """(doc_id, k, k2, n, c, bins, prefix, hot_from, rare): k and k2 name the text, c the class; from
+    """(doc_id, k, k2, n, c, bins, sketch, prefix, hot_from, rare): k and k2 name the text, c the class; from
     hot_from on, the prefix's n-grams are in over ``hot`` documents; rare is the share of it, in
     thousandths, that no frequent n-gram fills. A copy's own words come first in its prefix, so of a
     group of copies the one that they all stem from, which is nearest to each, has the least of them."""
@@ -108,7 +117,7 @@ def _told(docs: DataFrame, n: int, percent: int, table, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
-        names = ["doc_id", "k", "k2", "n", "c", "bins", "prefix", "hot_from", "rare"]
+        names = ["doc_id", "k", "k2", "n", "c", "bins", "sketch", "prefix", "hot_from", "rare"]
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
@@ -130,11 +139,11 @@ def _told(docs: DataFrame, n: int, percent: int, table, hot: int) -> DataFrame:
                     rares.append(int(1000 * (count[order] == 0).sum() / take) if take else 0)
                 offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 values = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-                made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bins, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(hots, pa.int32()), pa.array(rares, pa.int32())]
+                made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bins, pa.binary()), pa.array(map(sketch, bins), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(hots, pa.int32()), pa.array(rares, pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k", "k2", "text").mapInArrow(run, f"doc_id {kind}, k long, k2 long, n long, c binary, bins binary, prefix array<long>, hot_from int, rare int")
+    return docs.select("doc_id", "k", "k2", "text").mapInArrow(run, f"doc_id {kind}, k long, k2 long, n long, c binary, bins binary, sketch binary, prefix array<long>, hot_from int, rare int")
 
 
 def _numbered(told: DataFrame) -> DataFrame:
@@ -153,9 +162,9 @@ def _possible(nx: Column, ny: Column, i: Column, j: Column, percent: int) -> Col
     return (F.least(nx, ny) * 100 >= percent * F.greatest(nx, ny)) & (overlap * (100 + percent) >= percent * (nx + ny))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) of classes whose parities leave room for the overlap of a link."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, column: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) of classes whose parities (``column``) leave room for the overlap of a link."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"bins{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "binsa", "binsb")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +267,10 @@ class _Tile:
                 pick = np.arange(a, z)[part[a:z] != number.get(component, -1)]
                 if distance is not None:
                     pick = pick[~(np.abs(far[pick] - distance) > 1 - p / 100 + 1e-9)]
+                if not len(pick):
+                    continue
                 rows, x = table[pick - first], own
-                while rows.shape[1] > len(x) and len(rows):
+                while rows.shape[1] > len(x):
                     rows = _halved(rows)
                 while len(x) > rows.shape[1]:
                     x = _halved(x)
@@ -270,18 +281,19 @@ class _Tile:
 
 
 def _tiles(open_: DataFrame, percent: int, most: int) -> DataFrame:
-    """Likely pairs (a, b) among the rows (hub, b, n, component, linked, distance, bins) of each hub.
+    """Pairs (a, b) that sketches leave among the rows (hub, size, b, n, component, linked, distance,
+    sketch) of each hub and size.
 
-    Loose rows and all rows of a hub are dealt to tiles of about ``most`` of each, so a task's memory is
+    Loose rows and all rows of a group are dealt to tiles of about ``most`` of each, so a task's memory is
     bounded; a tile's rows come sorted by tile and the pairs stay inside the task."""
-    sizes = open_.groupBy("hub").agg(F.ceil(F.sum((~F.col("linked")).cast("long")) / most).alias("_l"), F.ceil(F.count("*") / most).alias("_t"))
-    rows = open_.join(sizes, "hub")
+    sizes = open_.groupBy("hub", "size").agg(F.ceil(F.sum((~F.col("linked")).cast("long")) / most).alias("_l"), F.ceil(F.count("*") / most).alias("_t"))
+    rows = open_.join(sizes, ["hub", "size"])
     h = F.xxhash64("b")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    payload = ["b", "n", "component", "linked", "distance", "bins"]
-    probes = rows.where("not linked").select("hub", F.pmod(h, F.col("_l")).alias("i"), each(F.col("_t")).alias("j"), F.lit(True).alias("probe"), *payload)
-    targets = rows.select("hub", each(F.col("_l")).alias("i"), F.pmod(h, F.col("_t")).alias("j"), F.lit(False).alias("probe"), *payload)
-    dealt = probes.unionAll(targets).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    payload = ["b", "n", "component", "linked", "distance", "sketch"]
+    probes = rows.where("not linked").select("hub", "size", F.pmod(h, F.col("_l")).alias("i"), each(F.col("_t")).alias("j"), F.lit(True).alias("probe"), *payload)
+    targets = rows.select("hub", "size", each(F.col("_l")).alias("i"), F.pmod(h, F.col("_t")).alias("j"), F.lit(False).alias("probe"), *payload)
+    dealt = probes.unionAll(targets).repartition("hub", "size", "i", "j").sortWithinPartitions("hub", "size", "i", "j")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tile = None, _Tile(percent)
@@ -291,7 +303,7 @@ def _tiles(open_: DataFrame, percent: int, most: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, probe, *row in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), *(batch.column(i).to_pylist() for i in range(3, 10))):
+            for key, probe, *row in zip(zip(*(batch.column(i).to_pylist() for i in range(4))), *(batch.column(i).to_pylist() for i in range(4, 11))):
                 if key != now:
                     if now is not None:
                         yield out()
@@ -301,7 +313,7 @@ def _tiles(open_: DataFrame, percent: int, most: int) -> DataFrame:
         if now is not None:
             yield out()
 
-    return dealt.select("hub", "i", "j", "probe", *payload).mapInArrow(multiply, "a long, b long").distinct()
+    return dealt.select("hub", "size", "i", "j", "probe", *payload).mapInArrow(multiply, "a long, b long").distinct()
 
 
 def link(df: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, hot: int = 2000, tile: int = 4096) -> DataFrame:
@@ -321,8 +333,8 @@ def link(df: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, h
     told = _numbered(scratch.table(_told(docs, n, percent, frequent(docs, n, scratch), hot)))
     filled = told.where("n > 0")
     first = F.min(F.struct("k", "k2"))
-    classes = filled.groupBy("c").agg(F.min("doc_id").alias("label"), first.alias("k"), F.min("n").cast("int").alias("n"), F.min("bins").alias("bins"))
-    classes = scratch.table(classes.select("c", "label", "k.k", "k.k2", "n", "bins"))
+    classes = filled.groupBy("c").agg(F.min("doc_id").alias("label"), first.alias("k"), F.min("n").cast("int").alias("n"), F.min("bins").alias("bins"), F.min("sketch").alias("sketch"))
+    classes = scratch.table(classes.select("c", "label", "k.k", "k.k2", "n", "bins", "sketch"))
     posted = filled.select("c", F.col("n").cast("int").alias("n"), "rare", "hot_from", F.posexplode("prefix").alias("i", "g"))
     least = [F.min(x).alias(x) for x in ("n", "i", "rare")]
     member = F.struct("rare", "c", "n", "i")
@@ -339,19 +351,23 @@ def link(df: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, h
     # One row for a class and a hub, however many blocks they share.
     met = blocks.select(F.col("hub.c").alias("hub"), F.col("c").alias("b"), fits.alias("fits"), (F.col("size") > 2).alias("more"))
     met = scratch.table(met.groupBy("hub", "b").agg(F.max("fits").alias("fits"), F.max("more").alias("more")))
-    pairs = scratch.table(_likely(met.where("fits").select(F.col("hub").alias("a"), "b"), classes, percent))
+    pairs = scratch.table(_likely(met.where("fits").select(F.col("hub").alias("a"), "b"), classes, percent, "sketch"))
+    pairs = scratch.table(_likely(pairs, classes, percent, "bins"))
     sizes = classes.select("c", "n")
     firsts = scratch.table(_measured(_overlaps(pairs, classes, docs, n, scratch), sizes, percent))
     found = scratch.table(components(firsts.where("linked").select("a", "b"), scratch))
 
     named = found.withColumnRenamed("node", "b")
     far = met.where("more").select("hub", "b").join(firsts.select(F.col("a").alias("hub"), "b", "linked", "distance"), ["hub", "b"], "left")
-    far = far.withColumn("linked", F.coalesce("linked", F.lit(False))).join(named, "b", "left")
-    far = scratch.table(far.withColumn("component", F.coalesce("component", "b")))
-    # Hubs with a loose member, and members of more than one component.
-    wide = far.groupBy("hub").agg(F.min("linked").alias("all"), F.min("component").alias("x"), F.max("component").alias("y")).where("not all and x <> y").select("hub")
-    open_ = scratch.table(far.join(wide, "hub").join(classes.select(F.col("c").alias("b"), "n", "bins"), "b"))
-    rest = scratch.table(_tiles(open_, percent, tile))
+    far = far.withColumn("linked", F.coalesce("linked", F.lit(False))).join(named, "b", "left").join(sizes.withColumnRenamed("c", "b"), "b")
+    # Sizes in steps of the least ratio of a link: sets that link are of one step or of two that adjoin,
+    # so a row is in the group of its step and in that of the next.
+    step = F.floor(F.log("n") / np.log(1 / (percent / 100 - 0.001))).cast("int")
+    far = scratch.table(far.select("hub", "b", "linked", "distance", F.coalesce("component", "b").alias("component"), "n", F.explode(F.array(step, step + 1)).alias("size")))
+    # Groups with a loose member, and members of more than one component.
+    wide = far.groupBy("hub", "size").agg(F.min("linked").alias("all"), F.min("component").alias("x"), F.max("component").alias("y")).where("not all and x <> y").select("hub", "size")
+    open_ = scratch.table(far.join(wide, ["hub", "size"]).join(classes.select(F.col("c").alias("b"), "sketch"), "b"))
+    rest = scratch.table(_likely(_tiles(open_, percent, tile), classes, percent, "bins"))
     if rest.limit(1).count():
         second = _measured(_overlaps(rest, classes, docs, n, scratch), sizes, percent)
         more = second.where("linked").select("a", "b")
