@@ -6,7 +6,7 @@
    The prefixes' columns of the matrix are the blocks; each has a hub, the class with the fewest
    n-grams of its own.
 3. The product is accumulated in folded columns: a class's whole set is kept as the parities of its
-   n-grams in two to four bins an n-gram, and again folded to 512 bins at most (its sketch). Two rows'
+   n-grams in two to four bins an n-gram, and again folded to 4,096 bins at most (its sketch). Two rows'
    bins that differ are n-grams that only one of them has, so the overlap has an upper bound, and a pair
    whose bound is below what the sizes demand is discarded, by sketches first, then by all bins. Few
    others are not links; their overlaps are counted over whole sets.
@@ -34,6 +34,10 @@ from .common import Scratch
 from .wordids import ngram_sets
 
 
+#: 64-bit numbers of parities that meet in tiles; only larger sets have more, which are kept besides.
+SKETCH = 64
+
+
 def _least_overlap(n, percent: int):
     """The overlap that a link of a set of n n-grams needs, whatever the other's size."""
     return -(-percent * n // 100)
@@ -90,7 +94,7 @@ def _halved(rows: np.ndarray) -> np.ndarray:
     return (rows ^ (rows >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
 
 
-def sketch(bins: bytes, most: int = 8) -> bytes:
+def sketch(bins: bytes, most: int = SKETCH) -> bytes:
     """The parities in at most ``most`` 64-bit numbers."""
     rows = np.frombuffer(bins, np.uint64)
     while len(rows) > most:
@@ -139,7 +143,7 @@ def _told(docs: DataFrame, n: int, percent: int, table, hot: int) -> DataFrame:
                     rares.append(int(1000 * (count[order] == 0).sum() / take) if take else 0)
                 offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 values = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-                made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bins, pa.binary()), pa.array(map(sketch, bins), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(hots, pa.int32()), pa.array(rares, pa.int32())]
+                made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array([x if len(x) > 8 * SKETCH else None for x in bins], pa.binary()), pa.array(map(sketch, bins), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(hots, pa.int32()), pa.array(rares, pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -164,7 +168,7 @@ def _possible(nx: Column, ny: Column, i: Column, j: Column, percent: int) -> Col
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int, column: str) -> DataFrame:
     """Those of ``pairs`` (a, b) of classes whose parities (``column``) leave room for the overlap of a link."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"bins{x}"))
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.coalesce(column, "sketch").alias(f"bins{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "binsa", "binsb")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,11 +349,18 @@ def link(df: DataFrame, doc_id: str, text: str, n: int = 4, percent: int = 85, h
     cold = cold.withColumn("size", F.count("*").over(by)).where("size > 1").withColumn("hub", F.min(member).over(by))
     warm = posted.where("i >= hot_from").groupBy("g", "c").agg(*least)
     tops = warm.groupBy("g").agg(F.count("*").alias("size"), F.min(member).alias("hub")).where("size > 1")
-    columns = ["size", "hub", "c", "n", "i"]
-    blocks = cold.select(*columns).unionAll(warm.join(tops, "g").select(*columns)).where("c <> hub.c")
+    # In a block, only what has a size that another member's allows can link to one other than the hub.
+    # The nearest sizes tell it.
+    cold = cold.where("c <> hub.c")
+    sized = Window.partitionBy("g").orderBy("n")
+    nearest = F.greatest(F.lag("n").over(sized) / F.col("n"), F.col("n") / F.lead("n").over(sized))
+    cold = cold.withColumn("more", F.coalesce(nearest >= percent / 100 - 1e-9, F.lit(False)))
+    columns = ["hub", "c", "n", "i", "more"]
+    warm = warm.join(tops, "g").where("c <> hub.c").withColumn("more", F.col("size") > 2)
+    blocks = cold.select(*columns).unionAll(warm.select(*columns))
     fits = _possible(F.col("hub.n"), F.col("n"), F.col("hub.i"), F.col("i"), percent)
     # One row for a class and a hub, however many blocks they share.
-    met = blocks.select(F.col("hub.c").alias("hub"), F.col("c").alias("b"), fits.alias("fits"), (F.col("size") > 2).alias("more"))
+    met = blocks.select(F.col("hub.c").alias("hub"), F.col("c").alias("b"), fits.alias("fits"), "more")
     met = scratch.table(met.groupBy("hub", "b").agg(F.max("fits").alias("fits"), F.max("more").alias("more")))
     pairs = scratch.table(_likely(met.where("fits").select(F.col("hub").alias("a"), "b"), classes, percent, "sketch"))
     pairs = scratch.table(_likely(pairs, classes, percent, "bins"))
