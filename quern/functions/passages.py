@@ -3,77 +3,41 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import first_line, tokens_of, words
+
 CHUNK_BYTES, LINE_CHARS, LEAD_WORDS = 1000, 160, 3
-_CJK = re.compile("([぀-ヿ㐀-䶿一-鿿가-힯豈-﫿\U00020000-\U0002fa1f])")
 
 
-def plain_words(text: str) -> str:
-    """As ``quern.functions.text.words``, for a Python string."""
-    out = re.sub(r"[\W_]+", " ", _CJK.sub(r" \1 ", text))
-    spaced = [out[:1]]
-    for a, b in zip(out, out[1:]):
-        if (a.islower() and b.isupper()) or (a != " " != b and a.isnumeric() != b.isnumeric()):
-            spaced.append(" ")
-        spaced.append(b)
-    return " ".join("".join(spaced).split())
+def _cut_inside(raw: bytes, start: int, limit: int) -> int:
+    """Where a line that is longer than a passage is cut: behind the last space of the passage's
+    second half, else before the character that would not fit whole."""
+    limit -= next(i for i in range(4) if raw[limit - i] & 0xC0 != 0x80)
+    half = start + (limit - start) // 2 + 1
+    return half + m.end() if (m := re.match(rb"(?s).*[ ]", raw[half:limit])) else limit
 
 
 def chunks(text: str, most: int = CHUNK_BYTES) -> list[tuple[int, int]]:
-    """Byte ranges of at most ``most`` bytes, cut after lines; a longer line is cut after its last
-    space in the range's second half, else between characters. A blank end makes no range."""
+    """Byte ranges of at most ``most`` bytes that together are the text, each ending with as many whole
+    lines as fit; a line that fits nowhere is cut. A blank rest at the end makes no range."""
     raw = text.encode("utf-8", "surrogatepass")
-    out, start = [], 0
-    ends = [m.end() for m in re.finditer(rb"\n", raw)]
-    if not ends or ends[-1] < len(raw):
-        ends.append(len(raw))
-    at = 0
-    for end in ends:
-        if end - start > most and at > start:
-            out.append((start, at))
-            start = at
-        while end - start > most:
-            cut = start + most
-            while raw[cut] & 0xC0 == 0x80:
-                cut -= 1
-            space = raw.rfind(b" ", start, cut)
-            if space - start > most // 2:
-                cut = space + 1
-            out.append((start, cut))
-            start = cut
-        at = end
-    if raw[start:at].decode("utf-8", "surrogatepass").strip():
-        out.append((start, at))
-    return out
-
-
-def matching_line(text: str, wanted: list[str]) -> str | None:
-    """The line with the most of ``wanted`` at the start of its words, the first of equals; a long
-    one starts shortly before its first match."""
-    best, found = 0, None
-    for line in text.split("\n"):
-        pieces = line.split()
-        hits: set[str] = set()
-        first = None
-        for i, piece in enumerate(pieces):
-            tokens = plain_words(piece).lower().split(" ")
-            own = {w for w in wanted if any(t.startswith(w) for t in tokens)}
-            if own and first is None:
-                first = i
-            hits |= own
-        if first is not None and len(hits) > best:
-            best, found = len(hits), (pieces, first)
-    if not found:
-        return None
-    pieces, first = found
-    start = max(0, first - LEAD_WORDS) if len(" ".join(pieces)) > LINE_CHARS else 0
-    line = ("… " if start else "") + " ".join(pieces[start:])
-    return line if len(line) <= LINE_CHARS else line[:LINE_CHARS] + "…"
+    borders = [0, *(m.end() for m in re.finditer(b"\n", raw))]
+    if borders[-1] < len(raw):
+        borders.append(len(raw))
+    cuts = [0]
+    while cuts[-1] < len(raw):
+        fits = borders[bisect_right(borders, cuts[-1] + most) - 1]
+        cuts.append(fits if fits > cuts[-1] else _cut_inside(raw, cuts[-1], cuts[-1] + most))
+    ranges = list(zip(cuts, cuts[1:]))
+    if ranges and not raw[slice(*ranges[-1])].decode("utf-8", "surrogatepass").strip():
+        ranges.pop()
+    return ranges
 
 
 def chunk_ranges(text: Column, most: int = CHUNK_BYTES) -> Column:
@@ -88,12 +52,39 @@ def chunk_ranges(text: Column, most: int = CHUNK_BYTES) -> Column:
     return cut(text)
 
 
-def snippet(text: Column, wanted: list[str]) -> Column:
-    """``matching_line`` of a column; put it after the limit, where rows are few."""
+def passage(chunk: Column, number: Column, kind: Column, header: Column) -> Column:
+    """A chunk as a model reads it: in sheets, later chunks stand under the header row of the first."""
+    return F.when((kind == "sheet") & (number > 0) & (header != ""), F.concat(header, F.lit("\n"), F.trim(chunk))).otherwise(F.trim(chunk))
 
-    @F.arrow_udf("string")
-    def line(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if x is None else matching_line(x, wanted) for x in batch.to_pylist()], pa.string())
 
-    return line(text)
+def wanted_words(texts: list[str]) -> list[str]:
+    """The distinct words of query terms, as the lines' words are read."""
+    return list(dict.fromkeys(w for t in texts for w in tokens_of(t, accents=True)))
+
+
+def _hits(text: Column, wanted: list[str]) -> Column:
+    """How many of ``wanted`` begin a word of ``text``."""
+    spaced = F.concat(F.lit(" "), F.lower(words(text)))
+    return F.aggregate(F.array(*map(F.lit, wanted)), F.lit(0), lambda n, w: n + F.contains(spaced, F.concat(F.lit(" "), w)).cast("int"))
+
+
+def snippet(text: Column, wanted: list[str]) -> Column:
+    """The line that has most of ``wanted`` at the start of its words, the first of equals; null without
+    any. A long line begins ``LEAD_WORDS`` words before its first match. All is JVM-side; put it behind
+    the limit, where rows are few."""
+    if not wanted:
+        return F.lit(None).cast("string")
+    scored = F.transform(F.split(text, "\n"), lambda line, i: F.struct(_hits(line, wanted).alias("n"), (-i).alias("i"), line.alias("line")))
+    best = F.array_max(scored)
+    pieces = F.split(F.trim(F.regexp_replace(best["line"], r"(?U)\s+", " ")), " ")
+    first = F.array_position(F.transform(pieces, lambda p: _hits(p, wanted) > 0), F.lit(True))
+    skip = F.when(F.length(F.array_join(pieces, " ")) > LINE_CHARS, F.greatest(first - 1 - LEAD_WORDS, F.lit(0))).otherwise(F.lit(0)).cast("int")
+    shown = F.concat(F.when(skip > 0, "… ").otherwise(""), F.array_join(F.slice(pieces, skip + 1, F.size(pieces)), " "))
+    short = F.when(F.length(shown) > LINE_CHARS, F.concat(F.substring(shown, 1, LINE_CHARS), F.lit("…"))).otherwise(shown)
+    return F.when(best["n"] > 0, short)
+
+
+def chunk_line(text: Column, start: Column, end: Column, wanted: list[str]) -> Column:
+    """The line of a passage (a byte range of ``text``) that answers, else the passage's first line."""
+    own = F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
+    return F.coalesce(snippet(own, wanted), first_line(own, LINE_CHARS))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scripts written without spaces, accents that folding takes off, marks of copies.
+# Scripts written without spaces, marks of copies.
 CJK = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF\\x{20000}-\\x{2FA1F}"
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+#: Combining marks that folding drops.
+MARKS = "".join(map(chr, range(0x300, 0x332)))
 COPY_MARKS = r"(?: \([0-9]+\)| - copy| copy|_copy|-copy|的副本| 副本| copy [0-9]*)"
 
 
@@ -21,14 +24,47 @@ def words(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+def _bare(c: str) -> str:
+    """A letter without its accents: the first character of its canonical decomposition."""
+    whole = unicodedata.normalize("NFD", c)
+    return whole[0] if len(whole) > 1 and all(unicodedata.combining(x) for x in whole[1:]) else c
+
+
+#: Lower-case letters of the basic plane with accents, and the same without them. By rule: 700 letters.
+_FOLDS = {c: _bare(c) for c in map(chr, range(0xC0, 0x2000)) if c.isalpha() and c.lower() == c and _bare(c) != c}
+ACCENTED, PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
+
+
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, written as one character or as a letter and its marks."""
+    return F.translate(F.lower(text), ACCENTED + MARKS, PLAIN)
+
+
+def split_plain(text: Column) -> Column:
+    """Folded runs of letters and digits, as an index reads text that is not split further."""
+    return F.array_remove(F.split(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "), " "), "")
+
+
+def token_list(text: Column) -> Column:
+    """Folded words, in order."""
+    return F.array_remove(F.split(fold(words(F.translate(text, MARKS, ""))), " "), "")
+
+
+def _is(c: str, kind: str) -> bool:
+    return unicodedata.category(c).startswith(kind)
+
+
+def _cjk(c: str) -> bool:
+    return any(a <= c <= b for a, b in (("\u3040", "\u30ff"), ("\u3400", "\u4dbf"), ("\u4e00", "\u9fff"), ("\uac00", "\ud7af"), ("\uf900", "\ufaff"), ("\U00020000", "\U0002fa1f")))
 
 
-def tokens(text: Column) -> Column:
-    """Folded words, each between two spaces, so that a phrase is a plain substring."""
-    w = fold(words(text))
-    return F.when(w == "", "").otherwise(F.concat(F.lit(" "), F.replace(w, F.lit(" "), F.lit("  ")), F.lit(" ")))
+def tokens_of(text: str, accents: bool = False) -> list[str]:
+    """``token_list`` of a Python string, for queries; with ``accents`` they stay on."""
+    text = "".join(c for c in text if c not in MARKS)
+    spread = "".join(f" {c} " if _cjk(c) else c if _is(c, "L") or _is(c, "N") else " " for c in text)
+    edges = [a + " " * ((_is(a, "Ll") and _is(b, "Lu")) or (_is(a, "N") and _is(b, "L")) or (_is(a, "L") and _is(b, "N"))) for a, b in zip(spread, spread[1:] + " ")]
+    out = "".join(edges).lower()
+    return (out if accents else "".join(_FOLDS.get(c, c) for c in out if c not in MARKS)).split()
 
 
 def human_size(size: Column) -> Column:

@@ -10,20 +10,20 @@ KINDS = ["project", "folder", "app", "code", "script", "key", "pdf", "doc", "she
 KEY_NAMES = [".env", ".netrc", ".pgpass", "authorized_keys", "credentials", "kubeconfig"]
 KEY_PREFIXES = ["id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", ".env."]
 ENV_TEMPLATES = ["example", "sample", "template", "dist"]
-KEY_EXTS = "pem key p12 pfx jks keystore ppk kdbx gpg asc crt cer csr pub".split()
+KEY_EXTS = ["pem", "key", "p12", "pfx", "jks", "keystore", "ppk", "kdbx", "gpg", "asc", "crt", "cer", "csr", "pub"]
 EXTS = {
     "pdf": ["pdf"],
-    "doc": "doc docx odt rtf txt md markdown rst org tex epub pages".split(),
-    "sheet": "xls xlsx xlsb ods csv tsv numbers".split(),
-    "slides": "ppt pptx odp".split(),
-    "image": "png jpg jpeg gif webp heic heif avif bmp tif tiff svg ico psd xcf raw cr2 cr3 nef arw dng".split(),
-    "video": "mp4 mkv mov webm avi m4v wmv flv".split(),
-    "audio": "mp3 flac wav ogg oga opus m4a aac wma".split(),
-    "archive": "zip tar gz tgz bz2 xz zst 7z rar iso deb rpm dmg apk".split(),
-    "app": "exe msi appimage".split(),
-    "script": "sh bash zsh fish ps1 bat cmd py rb pl lua php js mjs cjs ts".split(),
-    "code": "rs go c h cc cpp hpp java kt kts swift dart scala cs r jl ex exs erl hs ml clj sql tsx jsx vue svelte html css scss".split(),
-    "config": "json jsonc yaml yml toml ini conf cfg xml plist properties".split(),
+    "doc": ["doc", "docx", "odt", "rtf", "txt", "md", "markdown", "rst", "org", "tex", "epub", "pages"],
+    "sheet": ["xls", "xlsx", "xlsb", "ods", "csv", "tsv", "numbers"],
+    "slides": ["ppt", "pptx", "odp"],
+    "image": ["png", "jpg", "jpeg", "gif", "webp", "heic", "heif", "avif", "bmp", "tif", "tiff", "svg", "ico", "psd", "xcf", "raw", "cr2", "cr3", "nef", "arw", "dng"],
+    "video": ["mp4", "mkv", "mov", "webm", "avi", "m4v", "wmv", "flv"],
+    "audio": ["mp3", "flac", "wav", "ogg", "oga", "opus", "m4a", "aac", "wma"],
+    "archive": ["zip", "tar", "gz", "tgz", "bz2", "xz", "zst", "7z", "rar", "iso", "deb", "rpm", "dmg", "apk"],
+    "app": ["exe", "msi", "appimage"],
+    "script": ["sh", "bash", "zsh", "fish", "ps1", "bat", "cmd", "py", "rb", "pl", "lua", "php", "js", "mjs", "cjs", "ts"],
+    "code": ["rs", "go", "c", "h", "cc", "cpp", "hpp", "java", "kt", "kts", "swift", "dart", "scala", "cs", "r", "jl", "ex", "exs", "erl", "hs", "ml", "clj", "sql", "tsx", "jsx", "vue", "svelte", "html", "css", "scss"],
+    "config": ["json", "jsonc", "yaml", "yml", "toml", "ini", "conf", "cfg", "xml", "plist", "properties"],
 }
 BUNDLES = {"app": "app", "pages": "doc", "rtfd": "doc", "numbers": "sheet", "key": "slides", "photoslibrary": "image", "musiclibrary": "audio", "tvlibrary": "video", "bundle": "other", "framework": "other", "plugin": "other", "xcarchive": "other"}
 # Levels skip, name, text, meaning as 0 to 3; kinds above name by default, and kinds that stop at name.

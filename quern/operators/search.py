@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import dot, tokens
-from quern.plans.lang import DEFAULT_LIMIT, Query, Term
+from quern.functions.text import dot, tokens_of
+from quern.operators.index import Index
+from quern.plans.lang import DEFAULT_LIMIT, Query
 
-K1, B = 1.2, 0.75
-WEIGHTS = {"t_name": 10.0, "t_dirs": 1.0, "t_body": 1.0}
 WEEK = 604_800.0
 FUSE = 60
 NEAREST = 400
@@ -26,8 +25,8 @@ def within_column(path: Column, q: Query) -> Column:
     return out
 
 
-def filters(files: DataFrame, q: Query, tags: DataFrame | None = None, file_tags: DataFrame | None = None) -> DataFrame:
-    """The files that a query's filters leave; words are matched elsewhere, exclusions here."""
+def filters(files: DataFrame, q: Query, tags: DataFrame | None = None, file_tags: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """The files that a query's filters leave; words are matched elsewhere, exclusions here, by ``index``."""
     c = F.col
     if not (q.kinds or q.exts or q.within):
         files = files.where(c("project_id").isNull())
@@ -43,11 +42,7 @@ def filters(files: DataFrame, q: Query, tags: DataFrame | None = None, file_tags
     for wanted in q.tags:
         files = tagged(files, wanted, tags, file_tags)
     if q.exclude:
-        own = indexed(files.select("id", "name", "path"))
-        hit = F.lit(False)
-        for word in q.exclude:
-            hit |= matches(Term(word), name_only=True) > 0
-        files = files.join(own.where(hit).select("id"), "id", "left_anti")
+        files = files.join(index.without(q.exclude), "id", "left_anti")
     return files
 
 
@@ -63,86 +58,19 @@ def tagged(files: DataFrame, wanted: tuple[str, ...], tags: DataFrame, file_tags
     return by_file.unionByName(by_content.join(by_file.select("id"), "id", "left_anti"))
 
 
-def indexed(files: DataFrame, home: str = "/home/u") -> DataFrame:
-    """``files`` with the folded words of name, folders and body, as strings of spaced words."""
-    inside = F.regexp_replace(F.substring("path", len(home) + 2, 1 << 30), "/[^/]*$", "")
-    body = F.coalesce(tokens(F.col("text")), F.lit("")) if "text" in files.columns else F.lit("")
-    return files.withColumn("t_name", tokens(F.concat_ws(" ", "name", "name"))).withColumn("t_dirs", tokens(inside)).withColumn("t_body", body)
-
-
-def _phrase(term: Term) -> str:
-    """A term's folded words, as they stand in an indexed column; the last is a prefix unless exact."""
-    import re
-    import unicodedata
-
-    text = re.sub(r"([a-zß-ÿ])([A-Z])", r"\1 \2", term.text)
-    text = re.sub(r"([^\W\d_])(\d)", r"\1 \2", re.sub(r"(\d)([^\W\d_])", r"\1 \2", re.sub(r"[\W_]+", " ", text)))
-    folded = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    words = folded.split()
-    return "" if not words else " " + "  ".join(words) + (" " if term.exact else "")
-
-
-def count_of(column: Column, phrase: str) -> Column:
-    return (F.length(column) - F.length(F.replace(column, F.lit(phrase), F.lit("")))) / len(phrase)
-
-
-def searches_body(term: Term) -> bool:
-    return not term.name_only and any(len(w) >= 3 or not w.isascii() for w in term.text.split())
-
-
-def matches(term: Term, name_only: bool = False) -> Column:
-    """Weighted occurrences of a term over the columns that it searches."""
-    phrase = _phrase(term)
-    if not phrase:
-        return F.lit(0.0)
-    columns = ["t_name"] if term.name_only else ["t_name", "t_dirs"]
-    if searches_body(term) and not name_only:
-        columns.append("t_body")
-    total = F.lit(0.0)
-    for c in columns:
-        total += WEIGHTS[c] * count_of(F.col(c), phrase)
-    return total
-
-
-def bm25(index: DataFrame, terms: list[Term]) -> DataFrame:
-    """Rows of ``index`` that match all terms, with ``score`` (smaller is better) and ``by_name``.
-
-    Statistics cover the whole index and are one row; nothing but the match itself scans texts.
-    """
-    length = F.lit(0.0)
-    for c in WEIGHTS:
-        length += (F.length(c) - F.length(F.replace(F.col(c), F.lit(" "), F.lit("")))) / 2
-    rows = index.withColumn("_d", length)
-    for i, t in enumerate(terms):
-        rows = rows.withColumn(f"_f{i}", matches(t)).withColumn(f"_n{i}", matches(t, name_only=True))
-    stats = rows.agg(F.count("*").alias("_all"), F.avg("_d").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))))
-    rows = rows.crossJoin(F.broadcast(stats))
-    score, found, by_name = F.lit(0.0), F.lit(True), F.lit(True)
-    for i in range(len(terms)):
-        f, n = F.col(f"_f{i}"), F.col(f"_df{i}")
-        idf = F.greatest(F.log((F.col("_all") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score -= idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_d") / F.col("_avg")))
-        found &= f > 0
-        by_name &= F.col(f"_n{i}") > 0
-    out = rows.where(found).withColumn("score", score).withColumn("by_name", by_name)
-    return out.drop("_d", "_all", "_avg", *(f"{p}{i}" for p in ("_f", "_n", "_df") for i in range(len(terms))))
-
-
 def boosted(score: Column, project: Column, mtime: Column, now: int) -> Column:
     age = F.greatest(F.lit(0), F.lit(now) - mtime)
     return score * F.when(project.isNull(), 1.0).otherwise(0.3) * (1 + 1 / (1 + age / WEEK))
 
 
-def search_words(files: DataFrame, q: Query, now: int, tags: DataFrame | None = None, home: str = "/home/u") -> DataFrame:
+def search_words(files: DataFrame, q: Query, now: int, index: Index, tags: DataFrame | None = None, file_tags: DataFrame | None = None) -> DataFrame:
     """The query's best files by words, or the newest if it has none."""
-    terms = [t for t in q.terms if _phrase(t)]
-    limit = q.limit or DEFAULT_LIMIT
+    terms = [t for t in q.terms if tokens_of(t.text)]
+    left, limit = filters(files, q, tags, file_tags, index), q.limit or DEFAULT_LIMIT
     if not terms:
-        left = filters(files, q, tags)
         return left.orderBy(F.col("project_id").isNotNull(), F.desc("mtime"), "id").limit(limit)
-    scored = bm25(indexed(files, home), terms)
-    left = filters(scored, q, tags).withColumn("rank_score", boosted(F.col("score"), F.col("project_id"), F.col("mtime"), now))
-    return left.orderBy(F.desc("by_name"), "rank_score", "id").limit(limit)
+    found = left.join(index.ranked(terms), "id").withColumn("rank_score", boosted(F.col("score"), F.col("project_id"), F.col("mtime"), now))
+    return found.orderBy(F.desc("by_name"), "rank_score", "id").limit(limit)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int = NEAREST, least: float = 0.0) -> DataFrame:

@@ -5,10 +5,14 @@ All are deterministic; ``NOW`` stands for the clock.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.model import kind_of, level_of
+from quern.operators.index import Index
+from quern.sources.scratch import scratch_root
 
 START = 1_704_067_200
 NOW = START + 400 * 86_400
@@ -16,6 +20,10 @@ HOME = "/home/u"
 EXTENSIONS = ["txt", "md", "csv", "sh", "pdf", "png", "rs", "toml"]
 
 
+#: Where the index of a session's tables is.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -37,6 +45,14 @@ class Fixtures:
         out = out.withColumn("level", level_of(F.col("kind")))
         return out if text else out.drop("text")
 
+    def index(self) -> Index:
+        """The stored index of all files, built by the first query of a session that needs it."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = f"{scratch_root(self.spark)}/quern-index-{uuid.uuid4().hex}"
+            return Index.build(self.files(True), _INDEXES[key], HOME)
+        return Index.load(self.spark, _INDEXES[key])
+
     def tags(self) -> DataFrame:
         """(hash, tag, source); where copies disagree, a removal wins over a manual tag."""
         rows = self.table("labels").join(self.table("documents").select("doc_id", F.sha2("text", 256).alias("hash")), "doc_id")
@@ -57,7 +73,18 @@ class Fixtures:
         from quern.operators.dupes import median_bits
 
         e = self.table("embeddings")
-        return e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, "phash").otherwise("phash-video").alias("algo"), median_bits(F.col("embedding")).alias("bits"))
+        return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.floor(F.col("vec_id") / 4).cast("string")).alias("hash"), F.when(F.col("vec_id") % 2 == 1, (F.col("vec_id") % 50) * 2.0).alias("duration"), F.when(F.col("vec_id") % 2 == 0, "phash").otherwise("phash-video").alias("algo"), median_bits(F.col("embedding")).alias("bits"))
+
+    def outputs(self) -> DataFrame:
+        """What two processors said about some contents, with errors, blanks and repeated tags."""
+        d = self.table("documents")
+        k, h = F.col("doc_id"), F.sha2("text", 256).alias("hash")
+        tags = F.array(F.concat(F.lit(" Lang "), F.col("lang")), F.concat(F.lit("#lang "), F.col("lang")), F.lit(" "))
+        one = d.where("doc_id % 4 <> 1").select(h, F.lit("describe").alias("processor"), F.concat(F.lit("seen in "), "source").alias("text"), F.when(k % 8 < 4, tags).otherwise(F.array().cast("array<string>")).alias("tags"), F.array(F.col("source")).alias("labels"), F.when(k % 10 == 0, "cannot").alias("error"))
+        two = d.where("doc_id % 3 = 0").select(h, F.lit("alt").alias("processor"), F.when(k % 2 == 0, F.col("lang")).otherwise(" ").alias("text"), F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("error"))
+        both = one.unionByName(two)
+        # One output for a content and processor, as a cache has it.
+        return both.groupBy("hash", "processor").agg(F.min(F.struct("error", "text", "tags", "labels")).alias("o")).select("hash", "processor", "o.text", "o.tags", "o.labels", "o.error")
 
     def history(self) -> DataFrame:
         p = self.table("pages")
@@ -91,6 +118,10 @@ f3 AS (SELECT *, CASE WHEN ext IN ({_list(M.ENV_TEMPLATES)}) AND starts_with(low
 f AS (SELECT *, CASE {levels} ELSE 1 END AS level FROM f3)"""
 
 
+DUCK_OUTPUTS = """o0 AS (SELECT sha256(text) AS hash, 'describe' AS processor, 'seen in ' || source AS text, CASE WHEN doc_id % 8 < 4 THEN ['lang-' || lang, 'lang-' || lang] ELSE [] END AS tags, [' Lang ' || lang, '#lang ' || lang, ' '] AS raw, [source] AS labels, CASE WHEN doc_id % 10 = 0 THEN 'cannot' END AS error FROM documents WHERE doc_id % 4 <> 1
+ UNION ALL SELECT sha256(text), 'alt', CASE WHEN doc_id % 2 = 0 THEN lang ELSE ' ' END, [], [], [], NULL FROM documents WHERE doc_id % 3 = 0),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY hash, processor ORDER BY error NULLS FIRST, text, len(tags), labels) AS r FROM o0), o AS (SELECT * FROM o1 WHERE r = 1)"""
+
 DUCK_TAGS = """t0 AS (SELECT DISTINCT sha256(d.text) AS hash, u.tag AS tag, u.source AS source FROM labels l JOIN documents d USING (doc_id),
  LATERAL (SELECT 'quality' AS tag, 'manual' AS source WHERE l.quality = 1 UNION ALL SELECT 'quality', 'removed' WHERE l.quality = 0 AND l.toxic = 0 UNION ALL SELECT 'toxic', 'plugin' WHERE l.toxic = 1) u),
 t AS (SELECT * FROM t0 a WHERE a.source <> 'manual' OR NOT EXISTS (SELECT 1 FROM t0 b WHERE b.hash = a.hash AND b.tag = a.tag AND b.source = 'removed'))"""

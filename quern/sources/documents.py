@@ -142,12 +142,22 @@ def read_text(raw: bytes | None, ext: str, limit: int = TEXT_LIMIT) -> str | Non
     return office(raw, ext, limit) if ext in OFFICE else plain(raw, limit)
 
 
-def with_text(files: DataFrame, content: str = "content", ext: str = "ext", limit: int = TEXT_LIMIT) -> DataFrame:
-    """``files`` with ``text`` read from their bytes; a document at a time is in memory."""
+def with_text(files: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
+    """``files`` (path, ext, ...) with ``text``, read by the executors; one document at a time is in memory,
+    and of a plain file no more than the limit."""
 
     @F.arrow_udf("string")
     def extract(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for raw, kinds in batches:
-            yield pa.array([read_text(raw[i].as_py(), kinds[i].as_py() or "", limit) for i in range(len(raw))], pa.string())
+        for paths, kinds in batches:
+            yield pa.array([read_file(p, k or "", limit) for p, k in zip(paths.to_pylist(), kinds.to_pylist())], pa.string())
 
-    return files.withColumn("text", extract(F.col(content), F.col(ext)))
+    return files.withColumn("text", extract(F.col("path"), F.col("ext")))
+
+
+def read_file(path: str, ext: str, limit: int = TEXT_LIMIT) -> str | None:
+    """The text of a file; none where it can't be read."""
+    try:
+        with open(path, "rb") as f:
+            return read_text(f.read(MOST_BYTES + 1 if ext in OFFICE else limit + 4), ext, limit)
+    except OSError:
+        return None

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.model import kind_of
-from quern.operators.dupes import alike_pairs, names, same
+from quern.operators.dupes import alike_pairs, groups_of, names, same
 from quern.operators.graph import components
 from quern.operators.ingest import changes, collected
 from quern.operators.labels import by_example
@@ -49,20 +49,20 @@ def column(spark, values, f):
 
 
 def test_text_functions(spark):
-    assert column(spark, ["myBackupScript_v2.sh", "invoice-2024-03.pdf", "报销发票2024.pdf", None], T.words) == ["my Backup Script v 2 sh", "invoice 2024 03 pdf", "报 销 发 票 2024 pdf", None]
-    assert column(spark, ["Report (2).PDF", "report copy.pdf", "report - Copy.pdf", "notes copy 2.txt", "plain.txt", "a的副本.md"], T.plain_name) == ["report.pdf", "report.pdf", "report.pdf", "notes.txt", "plain.txt", "a.md"]
+    assert column(spark, ["raisedBeds_x9.md", "seed-list-1998-11.csv", "春の種まき7月.txt", None], T.words) == ["raised Beds x 9 md", "seed list 1998 11 csv", "春 の 種 ま き 7 月 txt", None]
+    assert column(spark, ["Seeds (3).CSV", "seeds copy.csv", "seeds - Copy.csv", "beds copy 4.md", "beds.md", "x的副本.txt", "x - copy (2).txt", " copy.md"], T.plain_name) == ["seeds.csv", "seeds.csv", "seeds.csv", "beds.md", "beds.md", "x.txt", "x.txt", " copy.md"]
     assert column(spark, [" #Big  Deal ", "x"], T.clean_tag) == ["big-deal", "x"]
     assert column(spark, ["\n  a\t b \n c", "", " \n "], T.first_line) == ["a b", None, None]
 
 
 def test_body_words_are_those_of_whole_texts(spark, tmp_path):
     r = random.Random(6)
-    parts = ["myBackupScript", "v2", "报销", "x9Y", "é", "ÀbÇd", "-", "_", "\n", " ", "4", "Q", "词"]
+    parts = ["raisedBedsPlan", "w7", "报销", "x9Y", "é", "ÀbÇd", "-", "_", "\n", " ", "4", "Q", "词"]
     texts = ["".join(r.choices(parts, k=2500)), "a" * 1999 + " camelCase" * 300 + " last7", "short one", "", None, "。" * 3000]
     rows = [(i, t, "en", "src1", 1) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
 
-    def words(text):  # a character at a time, as the reference does
+    def words(text):  # a character at a time
         out, prev = "", None
         for c in text:
             if "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff":
@@ -86,10 +86,10 @@ def test_kinds(spark):
 
 
 def test_duplicates(spark):
-    rows = [(1, "/a/report.pdf", "report.pdf", 20_000, 5, "h1"), (2, "/b/report (1).pdf", "report (1).pdf", 20_000, 6, "h1"), (3, "/c/other.pdf", "other.pdf", 20_000, 7, "h2"), (4, "/a/notes.txt", "notes.txt", 3, 8, "h3"), (5, "/a/notes copy.txt", "notes copy.txt", 4, 9, "h4")]
+    rows = [(1, "/a/seeds.csv", "seeds.csv", 20_000, 5, "h1"), (2, "/b/seeds (1).csv", "seeds (1).csv", 20_000, 6, "h1"), (3, "/c/tools.csv", "tools.csv", 20_000, 7, "h2"), (4, "/a/beds.md", "beds.md", 3, 8, "h3"), (5, "/a/beds copy.md", "beds copy.md", 4, 9, "h4")]
     files = spark.createDataFrame(rows, "id long, path string, name string, size long, mtime long, hash string")
-    assert [(r["hash"], r["n"], r["wasted"]) for r in same(files).collect()] == [("h1", 2, 20_000)]
-    assert [(r["plain"], r["n"]) for r in names(files).collect()] == [("notes.txt", 2)]
+    assert [(r["key"], r["n"], r["wasted"]) for r in groups_of(same(files), "same").collect()] == [("h1", 2, 20_000)]
+    assert [(r["key"], r["n"], r["first"]["name"]) for r in groups_of(names(files), "names").collect()] == [("beds.md", 2, "beds.md")]
 
 
 def test_fingerprints_and_components(spark):
