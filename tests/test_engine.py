@@ -74,7 +74,7 @@ def test_body_words_are_those_of_whole_texts(spark, tmp_path):
                 out, prev = out + " ", None
         return " ".join(out.split())
 
-    got = {r["id"]: r["body_words"] for r in Q.QUERIES["body_words"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["body_words"] for r in Q.QUERIES["words_tokens"](spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else words(t) for i, t in enumerate(texts)}
     assert got[1].endswith(" last 7")
 
