@@ -7,14 +7,32 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sources.scratch import Scratch as Scratch
+from quern.sources import scratch
 
+#: Rows and bytes of texts that pass between Spark and Python at once. Spark's own default is 10,000 rows,
+#: of which long texts make hundreds of MB on either side.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20))}
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: One byte each: lower-case letters stay, A-Z fold, every other ASCII byte becomes a space.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python, unless the session has set its own."""
+    for key, (default, value) in BATCH.items():
+        if spark.conf.get(key, None) in (default, None):
+            spark.conf.set(key, value)
+
+
+class Scratch(scratch.Scratch):
+    """Tables in the shared folder, for operators whose texts go to Python."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark)
+        small_batches(spark)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of all documents that no model learns from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -284,6 +286,7 @@ def main_text(df: DataFrame, page: str, column: str = "text", field: Field | Non
     repeated ones included; a column of that name is replaced. Without ``field``, one is trained on
     ``labelled_pages()``; its size does not depend on the input.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(field or train(list(labelled_pages())))
 
     @F.arrow_udf("string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS
+from .common import LETTERS, small_batches
 
 #: Longer words are read in stretches of so many bytes.
 STRETCH = 24
@@ -211,6 +211,7 @@ def identify(df: DataFrame, train: DataFrame, key: str, text: str, lang: str, ro
     letter gets ``und`` and 0; so does every text if there is nothing to learn from. Rows stay as
     they are; columns of those names are replaced. Equal probabilities go to the smaller language.
     """
+    small_batches(df.sparkSession)
     found, names = sample_words(train, text, lang, key, rows, words)
     labels = sorted(set(names))
     if not labels:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .units import ByteEncoder
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -114,6 +115,8 @@ def pack(df: DataFrame, doc_id: str, text: str, file: str, limits: Limits = Limi
     itself. An empty table gives no rows. Other columns are not read.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .units import PieceCounter
 
 _models: dict[str, PieceCounter] = {}
@@ -41,6 +42,8 @@ def token_counts(df: DataFrame, text: str, file: str, column: str = "n_tokens",
     Rows stay as they are, repeated ones included; a column of that name is replaced.
     """
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(file)
