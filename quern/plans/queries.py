@@ -462,11 +462,6 @@ def history_search(x: Fixtures) -> DataFrame:
     return history(x.history(), ["the"], 20).select("id", "url", "score")
 
 
-@query("SELECT c_custkey AS pid, c_name AS name, floor(abs(c_acctbal) * 1000) AS memory FROM customer ORDER BY memory DESC, name LIMIT 20")
-def process_top_memory(x: Fixtures) -> DataFrame:
-    return x.processes().select("pid", "name", "memory").orderBy(F.desc("memory"), "name").limit(20)
-
-
 @query("""WITH RECURSIVE p AS (SELECT c_custkey AS pid, CASE WHEN c_custkey // 3 > 0 THEN c_custkey // 3 END AS parent, floor(abs(c_acctbal) * 1000) AS memory FROM customer), a AS (SELECT pid, pid AS top FROM p UNION ALL SELECT a.pid, p.parent FROM a JOIN p ON p.pid = a.top WHERE p.parent IS NOT NULL)
 SELECT a.top AS pid, count(*) AS processes, sum(p.memory) AS memory FROM a JOIN p ON p.pid = a.pid GROUP BY a.top""")
 def process_tree(x: Fixtures) -> DataFrame:
@@ -475,25 +470,6 @@ def process_tree(x: Fixtures) -> DataFrame:
     return subtree_totals(x.processes()).select("pid", "processes", "memory")
 
 
-@query("SELECT text, max(conv_id * 1000000 + turn * 1000) AS copied FROM conversations WHERE trim(text) <> '' GROUP BY text ORDER BY copied DESC, text LIMIT 50")
-def clipboard_recent(x: Fixtures) -> DataFrame:
-    c = x.table("conversations").where(F.trim("text") != "")
-    return c.groupBy("text").agg(F.max(F.col("conv_id") * 1_000_000 + F.col("turn") * 1_000).alias("copied")).orderBy(F.desc("copied"), "text").limit(50)
-
-
-@query("""WITH r AS (SELECT upper(n_name) AS code, 1 + n_nationkey / 10.0 AS rate FROM nation) SELECT a.code AS from_code, b.code AS to_code, round(100 / a.rate * b.rate, 2) AS amount FROM r a JOIN r b ON a.code <> b.code""")
-def currency_convert(x: Fixtures) -> DataFrame:
-    r = x.rates()
-    a, b = r.toDF("from_code", "a"), r.toDF("to_code", "b")
-    return a.join(F.broadcast(b), F.col("from_code") != F.col("to_code")).select("from_code", "to_code", F.round(100 / F.col("a") * F.col("b"), 2).alias("amount"))
-
-
-@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS next_month, date_diff('day', o_orderdate, TIMESTAMP '2026-01-01') AS days FROM orders")
-def date_add_months(x: Fixtures) -> DataFrame:
-    o = x.table("orders")
-    return o.select("o_orderkey", F.date_format(F.add_months("o_orderdate", 1), "yyyy-MM-dd").alias("next_month"), F.date_diff(F.lit("2026-01-01").cast("date"), F.to_date("o_orderdate")).alias("days"))
-
-
 # Maintenance and streams
 
 
@@ -513,23 +489,6 @@ def private_exclusion(x: Fixtures) -> DataFrame:
     return outside(x.files(), ["/home/u/src3"]).select("id", "path")
 
 
-DUCK_EVENTS = "e AS (SELECT user_id % 20 AS src, epoch_us(ts) AS s, event_id FROM events WHERE event_type NOT IN ('click', 'view'))"
-
-
-@query(f"""WITH {DUCK_EVENTS}, g AS (SELECT *, CASE WHEN s - lag(s) OVER (ORDER BY s, event_id) < 300000000 THEN 0 ELSE 1 END AS new FROM e), b AS (SELECT *, sum(new) OVER (ORDER BY s, event_id) AS batch FROM g) SELECT min(s) // 1000000 AS opened, max(s) // 1000000 + 300 AS due, count(*) AS events FROM b GROUP BY batch""")
-def debounce_quiet(x: Fixtures) -> DataFrame:
-    from quern.streaming.debounce import matters, quiet_batches
-
-    return quiet_batches(matters(x.table("events")), 300)
-
-
-@query()
-def debounce_capped(x: Fixtures) -> DataFrame:
-    from quern.streaming.debounce import capped_batches, matters
-
-    return capped_batches(matters(x.table("events")), "user_id", 86_400, 3 * 86_400)
-
-
 @query()
 def chunk_ranges(x: Fixtures) -> DataFrame:
     from quern.functions.passages import chunk_ranges
@@ -588,26 +547,7 @@ def cache_gc_sweep(x: Fixtures) -> DataFrame:
     return collected(cache, f.where("id % 4 <> 0"), NOW).select("hash", "unused_since")
 
 
-@query("""WITH l AS (SELECT s_suppkey AS k, 'unit' || s_suppkey || CASE WHEN s_suppkey % 7 = 0 THEN '@.service' ELSE '.service' END AS unit, CASE WHEN s_acctbal > 5000 THEN 'active' ELSE 'failed' END AS active FROM supplier)
-SELECT unit, CASE WHEN k % 2 = 0 THEN active ELSE 'inactive' END AS active FROM l WHERE k % 7 <> 0""")
-def services_merge(x: Fixtures) -> DataFrame:
-    from quern.operators.providers import services
-
-    k = F.col("s_suppkey")
-    units = x.table("supplier").select(k, F.concat(F.lit("unit"), k.cast("string"), F.when(k % 7 == 0, "@.service").otherwise(".service")).alias("unit"), F.when(F.col("s_acctbal") > 5000, "active").otherwise("failed").alias("active"))
-    return services(units.where(k % 2 == 0).select("unit", "active"), units.select("unit", F.lit("enabled").alias("state"))).select("unit", "active")
-
-
-@query("""WITH s AS (SELECT 1000 + s_suppkey % 50 AS port, CASE WHEN s_suppkey % 2 = 0 THEN 'tcp' ELSE 'udp' END AS protocol, s_nationkey AS pid, CASE s_suppkey % 3 WHEN 0 THEN '0.0.0.0' WHEN 1 THEN '127.0.0.1' ELSE '10.0.0.' || (s_suppkey % 4) END AS address FROM supplier),
-g AS (SELECT port, protocol, pid, list(DISTINCT address ORDER BY address) AS a FROM s GROUP BY ALL)
-SELECT port, protocol, pid, CASE WHEN list_contains(a, '0.0.0.0') THEN 'every network' WHEN a = ['127.0.0.1'] THEN 'this computer only' ELSE array_to_string(a, ', ') END AS reach FROM g""")
-def ports_merge(x: Fixtures) -> DataFrame:
-    from quern.operators.providers import ports
-
-    k = F.col("s_suppkey")
-    address = F.when(k % 3 == 0, "0.0.0.0").when(k % 3 == 1, "127.0.0.1").otherwise(F.concat(F.lit("10.0.0."), (k % 4).cast("string")))
-    sockets = x.table("supplier").select((1000 + k % 50).alias("port"), F.when(k % 2 == 0, "tcp").otherwise("udp").alias("protocol"), F.col("s_nationkey").alias("pid"), F.lit("x").alias("name"), address.alias("address"))
-    return ports(sockets).select("port", "protocol", "pid", "reach")
+from quern.plans import lists, upkeep  # noqa: E402, F401  (they register theirs)
 
 
 def queries() -> dict:

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matters(events: DataFrame) -> DataFrame:
-    """Events that change files; looking at them and their metadata do not."""
-    return events.where(~F.col("event_type").isin("click", "view"))
-
-
 def quiet_batches(events: DataFrame, quiet: int, *keys: str) -> DataFrame:
     """(keys, opened, due, events): runs of events with less than ``quiet`` seconds between them.
 
@@ -22,6 +17,31 @@ def quiet_batches(events: DataFrame, quiet: int, *keys: str) -> DataFrame:
     return out.select(*keys, F.unix_timestamp("first").alias("opened"), (F.unix_timestamp("last") + quiet).alias("due"), "events")
 
 
+def quiet_runs(events: DataFrame, quiet: int, span: int | None = None) -> DataFrame:
+    """(opened, due, events): ``quiet_batches`` of all events of a table, without a key.
+
+    Events of one moment are one row. Runs are found within spans of time, each in a task of its own; then
+    only a span's first and last run, two rows a span, are compared with their neighbours and joined.
+    """
+    span = span or 1000 * quiet
+    moments = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    moments = moments.withColumn("s", F.floor(F.col("t") / (span * 1_000_000)))
+    order = Window.partitionBy("s").orderBy("t")
+    new = F.coalesce(F.col("t") - F.lag("t").over(order) >= quiet * 1_000_000, F.lit(True))
+    runs = moments.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order))
+    runs = runs.groupBy("s", "run").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.sum("n").alias("n"))
+    ends = runs.groupBy("s").agg(F.max("run").alias("runs"))
+    runs = runs.join(ends, "s")
+    edge = (F.col("run") == 1) | (F.col("run") == F.col("runs"))
+    along = Window.orderBy("first")
+    apart = F.coalesce(F.col("first") - F.lag("last").over(along) >= quiet * 1_000_000, F.lit(True))
+    joined = runs.where(edge).withColumn("apart", apart).withColumn("chain", F.sum(F.col("apart").cast("long")).over(along))
+    joined = joined.groupBy("chain").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    out = joined.select("first", "last", "n").unionByName(runs.where(~edge).select("first", "last", "n"))
+    seconds = lambda c: F.floor(F.col(c) / 1_000_000)
+    return out.select(seconds("first").alias("opened"), (seconds("last") + quiet).alias("due"), F.col("n").alias("events"))
+
+
 def capped_batches(events: DataFrame, key: str, quiet: int, most: int) -> DataFrame:
     """(key, opened, due, events) with batches that also close ``most`` seconds after they open.
 
