@@ -13,7 +13,7 @@ from quern.llm.common import Scratch, n_words, table
 from quern.llm.mixing import mix
 from quern.llm.ngram_join import link
 from quern.llm.packing import Limits, pack
-from quern.llm.quality import quality
+from quern.llm.quality import good
 from quern.llm.toxicity import labelled, toxicity
 
 #: Sides of at most so many rows, of a few numbers each, are broadcast; larger ones are shuffled.
@@ -25,8 +25,10 @@ def _side(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep lines of their own when boilerplate blocks go."""
-    return quality(docs, "doc_id", "text", "source", blocks=True).where("kept").select(*docs.columns)
+    """Documents that pass the base rules and keep lines of their own when the boilerplate of their source
+    goes. Null texts and those of few words go, null sources are one source, equal rows go or stay
+    together, an empty table gives an empty one, and other columns, whatever their names, are untouched."""
+    return good(docs, "doc_id", "text", "source")
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

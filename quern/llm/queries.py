@@ -12,7 +12,7 @@ from .langid import identify
 from .mixing import Mix, mix
 from .ngram_join import link
 from .packing import Limits, pack
-from .quality import quality
+from .quality import BANDS, COUNTS, POINTS, SAMPLED, judged
 from .token_count import token_counts
 from .toxicity import labelled, toxicity
 from .url_templates import judge
@@ -50,7 +50,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and line-frequency verdict of every document; its host is its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality(docs, "doc_id", "text", "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words")
+    return judged(docs, "doc_id", "text", "source").select("doc_id", *COUNTS, "base_failed", "kept", "n_boilerplate_words")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,20 +102,31 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_multi_index, op2_mixing, op3_ngram_join, op4_quality_rules, op5_toxicity, op6_token_counts, op7_url_filters, op8_main_text, op9_packing, op10_language_id)}
 
 
-#: Quality rules in SQL: the same counts and verdicts, with lines themselves in place of their hashes.
-QUALITY_SQL = r"""
-WITH d AS (SELECT doc_id, source, text, translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS spaced FROM documents),
+#: Quality rules in SQL: the same counts, signatures and verdicts, with lines and windows themselves in
+#: place of their hashes where only equality counts.
+_HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+_SIGNATURES = ", ".join(f"[{', '.join(f'list_min(list_transform(g, lambda x: xor(x, {p}::BIGINT)))' for p in points)}]" for points in POINTS)
+QUALITY_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, text, translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS spaced FROM documents),
 w AS (SELECT *, list_filter(string_split(spaced, ' '), lambda x: x <> '') AS ws,
  list_filter(string_split(text, chr(10)), lambda x: trim(translate(x, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '') AS ls FROM d),
 g AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, sum(least(5, step)) AS n FROM (SELECT doc_id, i - lag(i, 1, i - 5) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM r) GROUP BY doc_id),
+a AS (SELECT source, {_HASH.format("coalesce(text, '')")} AS t, ws, CASE WHEN len(ws) >= 5 THEN CASE WHEN len(list_filter(range(1, len(ws) - 3), lambda i: length(ws[i]) % {SAMPLED} = 0)) > 0 THEN list_filter(range(1, len(ws) - 3), lambda i: length(ws[i]) % {SAMPLED} = 0) ELSE range(1, len(ws) - 3) END END AS chosen FROM w),
+h AS (SELECT source, t, CASE WHEN chosen IS NULL THEN [t] ELSE list_transform(chosen, lambda i: {_HASH.format("array_to_string(ws[i:i + 4], ' ')")}) END AS g FROM a),
+s AS (SELECT source, t, unnest([{_SIGNATURES}]) AS s, unnest(range({BANDS})) AS band FROM h),
+e AS (SELECT source, t FROM (SELECT source, band, s, min(t) AS t FROM s GROUP BY ALL) GROUP BY ALL HAVING count(*) = {BANDS}),
+m AS (SELECT source, greatest(10, ceil(count(DISTINCT t) * 0.001)) AS most FROM h GROUP BY source),
 n AS (SELECT doc_id, source, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(translate(lower(x), '0123456789' || chr(9) || chr(13) || chr(11) || chr(12), '0000000000    '))), lambda x: x <> '') AS ns FROM d),
-l AS (SELECT doc_id, source, text, i, ns[i] AS line, CASE WHEN i > 1 THEN ns[i - 1] ELSE chr(1) END AS before, CASE WHEN i < len(ns) THEN ns[i + 1] ELSE chr(1) || i END AS after FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM n)),
-o AS (SELECT source, line, text, arg_min(before, i) AS before, arg_min(after, i) AS after FROM l GROUP BY ALL),
-b AS (SELECT source, line, sum(k) AS docs, max(k) AS top FROM (SELECT source, line, before, count(*) AS k FROM o GROUP BY ALL) GROUP BY ALL),
-a AS (SELECT source, line, max(k) AS top FROM (SELECT source, line, after, count(*) AS k FROM o GROUP BY ALL) GROUP BY ALL),
-f AS (SELECT b.source, b.line FROM b JOIN a ON a.source IS NOT DISTINCT FROM b.source AND a.line = b.line WHERE b.docs >= 10 AND (b.top < 0.5 * b.docs OR a.top < 0.5 * b.docs)),
+l AS (SELECT doc_id, source, {_HASH.format("coalesce(text, '')")} AS t, i, ns[i] AS line, CASE WHEN i > 1 THEN ns[i - 1] ELSE chr(1) || i || ns[i] END AS before, CASE WHEN i < len(ns) THEN ns[i + 1] ELSE chr(1) || i || ns[i] END AS after FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM n)),
+o AS (SELECT source, line, t, arg_min(before, i) AS before, arg_min(after, i) AS after FROM l GROUP BY source, line, t),
+q AS (SELECT source, line, count(*) AS docs FROM o GROUP BY source, line),
+j AS (SELECT q.*, (SELECT max(before) FROM (SELECT before FROM o WHERE o.source IS NOT DISTINCT FROM q.source AND o.line = q.line GROUP BY before HAVING 2 * count(*) > q.docs)) AS before, (SELECT max(after) FROM (SELECT after FROM o WHERE o.source IS NOT DISTINCT FROM q.source AND o.line = q.line GROUP BY after HAVING 2 * count(*) > q.docs)) AS after FROM q JOIN m ON m.source IS NOT DISTINCT FROM q.source WHERE q.docs >= m.most),
+y AS (SELECT a.source, a.line AS up, b.line AS down FROM j a JOIN j b ON a.source IS NOT DISTINCT FROM b.source AND a.after = b.line AND b.before = a.line),
+z AS (SELECT source, line FROM j WHERE before IS NULL OR after IS NULL UNION SELECT z.source, CASE WHEN y.up = z.line THEN y.down ELSE y.up END FROM z JOIN y ON y.source IS NOT DISTINCT FROM z.source AND (y.up = z.line OR y.down = z.line)),
+k AS (SELECT o.source, o.line FROM o JOIN e ON e.source IS NOT DISTINCT FROM o.source AND e.t = o.t JOIN m ON m.source IS NOT DISTINCT FROM o.source GROUP BY o.source, o.line, m.most HAVING count(*) >= m.most),
+f AS (SELECT source, line FROM z UNION SELECT source, line FROM k),
 x AS (SELECT l.doc_id, sum(len(list_filter(string_split(l.line, ' '), lambda x: x <> ''))) AS gone FROM l JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.line = l.line GROUP BY l.doc_id),
 t AS (SELECT w.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(length(replace(spaced, ' ', '')), 0) AS word_chars, coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS n_symbols,
  coalesce(len(ls) - len(list_distinct(ls)), 0) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_boilerplate_words FROM w LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),

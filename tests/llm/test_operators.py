@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from quern.llm.langid import BiGRU, identify, padded
 from quern.llm.mixing import mix, targets
 from quern.llm.ngram_join import apart, folded, link
 from quern.llm.packing import Limits, Packer, pack
-from quern.llm.quality import quality, with_counts
+from quern.llm.quality import good, judged, with_counts
 from quern.llm.token_count import token_counts
 from quern.llm.toxicity import labelled, toxicity
 from quern.llm.units import ByteEncoder, PieceCounter
@@ -88,7 +89,7 @@ def test_quality_counts_and_rules(spark):
     r = random.Random(3)
     extra = [(100 + i, prose(r, 40) + "\n" + shared, "en", "h", 1) for i in range(12)] + [(200, shared + " 1\nshort other words", "en", "h", 1)] + [(300 + i, "\n".join(["Copied line number one", "another row which follows", "then comes some closing remark"]), "en", "h", 1) for i in range(30)]
     df, rows = documents(spark, extra)
-    got = quality(df.withColumn("kept", F.lit(7)), "doc_id", "text", "source").collect()
+    got = judged(df.withColumn("kept", F.lit(7)).withColumn("_lines", F.lit(1)), "doc_id", "text", "source").collect()
     assert len(got) == len(rows)
     want = Counter()
     for d, t, *_ in rows:
@@ -102,8 +103,21 @@ def test_quality_counts_and_rules(spark):
     assert all(by[100 + i]["kept"] and by[100 + i]["n_boilerplate_words"] == 9 for i in range(12))
     assert by[5]["n_words"] == 0 and not by[5]["kept"]
     assert all(by[300 + i]["kept"] and not by[300 + i]["n_boilerplate_words"] for i in range(30))  # copies are not boilerplate
-    assert quality(df.limit(0), "doc_id", "text", "source").count() == 0
-    assert with_counts(df, "text").where("n_repeat_words > 3").count() == 2
+    assert judged(df.limit(0), "doc_id", "text", "source").count() == 0
+    odd = df.withColumns({c: F.lit(1) for c in ("_k", "_k2", "_w", "_lines", "_text", "goes", "kept", "rows")})
+    kept = good(odd, "doc_id", "text", "source")
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
+    assert sum(r["n_repeat_words"] > 3 for r in with_counts(df, "text").collect()) == 2
+
+
+#: Words that stay different when digits are made alike.
+LETTERED = ["".join(p) + "x" * (i % 5) for i, p in enumerate(itertools.product("abcdefghijklmno", repeat=3))]
+
+
+def verdicts(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return {r["doc_id"]: (r["kept"], r["n_boilerplate_words"]) for r in judged(df, "doc_id", "text", "source").collect()}
 
 
 def test_a_document_of_boilerplate_is_rejected(spark):
@@ -114,8 +128,32 @@ def test_a_document_of_boilerplate_is_rejected(spark):
         r.shuffle(shared)
         rows.append((i, "\n".join([prose(r, 20), shared[0], prose(r, 20), shared[1], prose(r, 20)]), "h"))
     rows += [(100, "\n".join(["tiny", *shared, "bit"]), "h")]
-    got = {r["doc_id"]: r["kept"] for r in quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
-    assert not got[100] and all(got[i] for i in range(30))
+    got = verdicts(spark, rows)
+    assert got[100] == (False, 18) and all(got[i] == (True, 18) for i in range(30))
+
+
+def test_all_lines_of_a_fixed_block_go(spark):
+    r = random.Random(14)
+    notice = [prose(r, n) + f" notice {chr(97 + n)}" for n in (5, 6, 7, 8, 8)]
+    own = LETTERED
+    page = lambda n: "\n".join(" ".join(r.choices(own, k=9)) for _ in range(n))
+    rows = [(i, "\n".join([page(6), *notice, page(6)]), "h") for i in range(50)]
+    rows += [(100 + i, "\n".join([page(6), *notice]), "g") for i in range(8)]  # under the limit of its host
+    got = verdicts(spark, rows)
+    assert all(got[i] == (True, 44) for i in range(50)) and all(got[100 + i] == (True, 0) for i in range(8))
+
+
+def test_groups_of_copies_are_kept(spark):
+    r = random.Random(15)
+    own = LETTERED
+    rows = []
+    for g, lines in enumerate((6, 25)):
+        text = [r.choices(own, k=14) for _ in range(lines)]
+        for i in range(150):  # copies with words changed here and there
+            copy = [[r.choice(own) if r.random() < 0.02 * g else w for w in line] for line in text]
+            rows.append((1000 * g + i, "\n".join(map(" ".join, copy)), "h"))
+    rows += [(5000 + i, "\n".join(" ".join(r.choices(own, k=14)) for _ in range(8)), "h") for i in range(60)]
+    assert all(kept for kept, _ in verdicts(spark, rows).values())
 
 
 def test_targets():
