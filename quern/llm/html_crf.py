@@ -42,20 +42,30 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
     out: list[tuple[str, list[str]]] = []
     stack: list[tuple[str, set[str]]] = []
     above: dict[str, int] = {}  # features of the open elements, with the number that have them
+    places: list[int] = []  # where in the stack block-level elements are
+    tags: dict[str, int] = {}  # open elements by tag
     text: list[str] = []
     linked = link = 0
 
     def push(tag: str, attributes: str) -> None:
         own = _words(attributes) | {"a:" + tag}
+        if tag in BLOCKS:
+            places.append(len(stack))
         stack.append((tag, own))
+        tags[tag] = tags.get(tag, 0) + 1
         for f in own:
             above[f] = above.get(f, 0) + 1
 
-    def pop() -> None:
-        for f in stack.pop()[1]:
+    def pop() -> str:
+        tag, own = stack.pop()
+        tags[tag] -= 1
+        if places and places[-1] == len(stack):
+            places.pop()
+        for f in own:
             above[f] -= 1
             if not above[f]:
                 del above[f]
+        return tag
 
     def close() -> None:
         nonlocal linked
@@ -83,12 +93,10 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if m[1]:
             if tag in BLOCKS:
                 close()
-            if any(t == tag for t, _ in stack[-64:]):
-                while stack[-1][0] != tag:
-                    link -= stack[-1][0] == "a"
-                    pop()
+            if tags.get(tag):  # all that is open inside ends too, however deep
+                while (ended := pop()) != tag:
+                    link -= ended == "a"
                 link -= tag == "a"
-                pop()
             continue
         if tag in RAW:
             shut = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
@@ -97,14 +105,10 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if tag in BLOCKS:
             close()
             ended = IMPLIED.get(tag) or ({"p"} if tag != "p" else {"p"})
-            for depth in range(1, min(len(stack), 8) + 1):
-                if stack[-depth][0] in ended:
-                    for _ in range(depth):
-                        link -= stack[-1][0] == "a"
-                        pop()
-                    break
-                if stack[-depth][0] in BLOCKS:
-                    break
+            # All such tags are block-level, so the innermost blocks tell it.
+            while places and stack[places[-1]][0] in ended:
+                for _ in range(len(stack) - places[-1]):
+                    link -= pop() == "a"
         if tag == "br":
             text.append(" ")
         if tag not in VOID and not m[3].endswith("/"):
