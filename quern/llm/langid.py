@@ -8,6 +8,7 @@ positions of the whole text. Words are the network's sequences, so a distinct wo
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS, small_batches
 
-#: Longer words are read in stretches of so many bytes.
+#: Longer words are read in overlapping stretches of at most so many bytes.
 STRETCH = 24
 #: Words that a Python worker remembers.
 CACHE = 600_000
@@ -130,10 +131,25 @@ def padded(words: list[bytes]) -> np.ndarray:
 def words_of(raw: bytes) -> list[bytes]:
     words = raw.translate(LETTERS).split()
     if words and len(max(words, key=len)) > STRETCH:
-        words = [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
+        words = [part for w in words for part in ([w] if len(w) <= STRETCH else _stretches(w))]
     return words
 
 
+def _stretches(word: bytes) -> list[bytes]:
+    """A long word in stretches of whole characters, each beginning with the last third of the one before,
+    so that every position has context before it."""
+    heads = np.flatnonzero(np.frombuffer(word, np.uint8) & 0xC0 != 0x80).tolist() + [len(word)]
+    out, start = [], 0
+    while start < len(heads) - 1:
+        end = bisect_right(heads, heads[start] + STRETCH) - 1
+        end = max(end, start + 1)
+        out.append(word[heads[start] : heads[end]])
+        if end == len(heads) - 1:
+            break
+        start = max(start + 1, end - (end - start) // 3)
+    return out
+
+
 class Scorer:
     """Pooled probabilities of texts; remembers each word's sum over its positions."""
 
@@ -234,8 +250,10 @@ def identify(df: DataFrame, train: DataFrame, key: str, text: str, lang: str, ro
                 scores += b
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    out = df.drop("lang_pred", "score").withColumn("_predicted", predict(F.col(text).cast("string")))
-    return out.select("*", "_predicted.lang_pred", "_predicted.score").drop("_predicted")
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
+    name = f"_{name}"  # as no input's column
+    out = df.withColumn(name, predict(F.col(text).cast("string")))
+    return out.select(*rest, F.col(f"{name}.lang_pred"), F.col(f"{name}.score"))
 
 
 _scorers: dict[str, Scorer] = {}
