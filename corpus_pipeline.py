@@ -24,6 +24,17 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def free(name: str, docs: DataFrame) -> str:
+    """``name`` with underscores in front until no column of ``docs`` has it, in any case."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and keep lines of their own when the boilerplate of their source
     goes. Null texts and those of few words go, null sources are one source, equal rows go or stay
@@ -32,9 +43,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5."""
+    """Documents with a toxicity score below 0.5. Null and empty texts stay, equal texts go or stay together,
+    an empty table gives an empty one, and other columns, whatever their names, are untouched."""
     train = labelled(docs, table(spark, sf_dir, "labels"))
-    return toxicity(docs, "text", train, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    score = free("_toxicity", docs)
+    return toxicity(docs, "text", train, score).where(F.col(score) < 0.5).select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,30 +76,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix by weights 1, 2, 3, repeating, takes: a row for each time it takes of a
-    document, with the whole text, or the taken words if it takes a part; n_chars follows the text."""
+    document, with the whole text, or the taken words if it takes a part; n_chars follows the text.
+
+    Documents without words are taken whole never, as there is nothing of them to take. Null ids and
+    sources take part like others; rows that repeat an id, text and source are one stream of words each,
+    and equal ones follow each other. An empty table gives an empty one; other columns are untouched.
+    """
     scratch = Scratch(spark)
-    keyed = docs.withColumn("k", F.xxhash64("text"))
-    own = mix(keyed.select("doc_id", "k", "source", n_words(F.col("text")).alias("size")), "doc_id", "source", "size", [1.0, 2.0, 3.0], scratch)
+    keys = {"_d": F.col("doc_id"), "_k": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(7), "text"), "_s": F.col("source")}
+    own = docs.select(*(v.alias(k) for k, v in keys.items()), n_words(F.col("text")).alias("_size"))
+    mixed = mix(own.withColumnsRenamed({"_s": "source", "_size": "size", "_d": "doc_id"}), "doc_id", "source", "size", [1.0, 2.0, 3.0], scratch)
     at = ["_source", "_chunk", "_place"]
-    taken = own.pieces.groupBy(*at, "epoch").agg(F.min("from").alias("from"), F.sum("length").alias("length"))
-    taken = own.rows.select(*at, "doc_id", "k", "source", "size").join(taken, at).select("doc_id", "k", "source", "size", "epoch", "from", "length")
-    taken = scratch.table(taken.toDF("_d", "_k", "_s", "_size", "_epoch", "_from", "_length"))
-    once = keyed
-    if keyed.groupBy("doc_id", "k", "source").count().where("count > 1").limit(1).count():
-        once = keyed.dropDuplicates(["doc_id", "k", "source"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("k").eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s"))
-    rows = once.join(_side(taken), same)
-    words = F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), "")
-    part = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), F.col("_length").cast("int")), " ")
-    text = F.when(F.col("_length") < F.col("_size"), part).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    taken = mixed.pieces.groupBy(*at, "epoch").agg(F.min("from").alias("from"), F.sum("length").alias("length"))
+    taken = mixed.rows.select(*at, "doc_id", "_k", "_k2", "source", "size").join(taken, at)
+    taken = scratch.table(taken.select(F.col("doc_id").alias("_d"), "_k", "_k2", F.col("source").alias("_s"), F.col("size").alias("_size"), F.col("from").alias("_from"), F.col("length").alias("_length")))
+    once = docs
+    if own.groupBy("_d", "_k", "_k2", "_s").count().where("count > 1").limit(1).count():
+        once = docs.dropDuplicates(["doc_id", "text", "source"])
+    row = {"_d": F.col("rows.doc_id"), "_k": F.xxhash64("rows.text"), "_k2": F.xxhash64(F.lit(7), "rows.text"), "_s": F.col("rows.source")}
+    same = F.lit(True)
+    for k, v in row.items():
+        same &= v.eqNullSafe(F.col(f"taken.{k}"))
+    rows = once.alias("rows").join(_side(taken).alias("taken"), same)
+    words = F.array_remove(F.split(F.translate("rows.text", "\t\n\x0b\x0c\r", "     "), " "), "")
+    part = F.array_join(F.slice(words, (F.col("taken._from") + 1).cast("int"), F.col("taken._length").cast("int")), " ")
+    text = F.when(F.col("taken._length") < F.col("taken._size"), part).otherwise(F.col("rows.text"))
+    shown = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        shown["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(shown[c].alias(c) if c in shown else F.col(f"rows.`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 1024 tokens."""
+    """Pieces of the remaining documents in sequences of at most 1024 tokens. A null or empty text is its end
+    token alone, repeated rows are packed each for itself, an empty table gives no rows, and other columns
+    are not read."""
     return pack(docs, "doc_id", "text", "byte_bpe_50k.json", Limits(1024, 256, 1024))
 
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm.mixing import targets
 
@@ -74,6 +75,53 @@ def test_mixed_documents_hold_what_the_mix_takes(spark, sf_dir):
         assert abs(taken[p.source] - p.target) <= 0.02 * p.target + 5
 
 
+CLASHES = ["k", "c", "_k", "_k2", "_d", "_s", "_toxicity", "_lines", "_w", "_key", "_size", "size", "rows", "taken", "d", "g", "goes", "component_id", "score", "kept", "a.b"]
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES[:-1])
+def test_stages_leave_other_columns_alone(spark, sf_dir, name, stage):
+    df, rows = documents(spark)
+    odd = df.withColumns({c: F.col("doc_id") * 7 + i for i, c in enumerate(CLASHES)})
+    got = stage(spark, odd, sf_dir)
+    assert got.columns == odd.columns and got.schema["n_chars"].dataType == odd.schema["n_chars"].dataType
+    found = got.collect()
+    assert all(r[c] == r["doc_id"] * 7 + i for r in found if r["doc_id"] is not None for i, c in enumerate(CLASHES))
+    plain = stage(spark, df, sf_dir).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in found) == Counter((r["doc_id"], r["text"]) for r in plain)
+    assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_toxic_documents_go_and_others_stay(spark, tmp_path):
+    r = random.Random(31)
+    rows, labels = [], []
+    for i in range(600):
+        w, bad = prose(r, 60).split(), i % 4 == 0
+        for _ in range(3 * bad):
+            w[r.randrange(60)] = r.choice(("vilo grubo", "the slimo", "zanko"))
+        rows.append((i, " ".join(w), "en", "a", 1))
+        labels.append((i, 1, int(bad)))
+    rows += [(1001, None, "en", "a", 0), (1002, "", None, None, 0), (None, prose(r, 30), "en", "a", 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {x["doc_id"] for x in P.toxic_documents(spark, spark.createDataFrame(rows, DOCUMENTS), str(tmp_path)).collect()}
+    good = {i for i in range(600) if i % 4} | {1001, 1002, None}
+    assert len(good - kept) <= 6 and len(kept & {i for i in range(0, 600, 4)}) <= 15
+
+
+def test_packing_places_every_token(spark, sf_dir):
+    df, rows = documents(spark)
+    got = P.packing(spark, df.withColumn("length", F.lit("x")), sf_dir).collect()
+    assert Counter(r["doc_id"] for r in got if not r["start"]) == Counter(r[0] for r in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        ends = [0]
+        for offset, n in sorted(pieces):
+            assert offset == ends[-1]
+            ends.append(offset + n)
+        assert ends[-1] <= 1024
+
+
 def test_the_whole_pipeline(spark, sf_dir):
     got = P.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
