@@ -114,15 +114,20 @@ def vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (length["n"] if length else 0))
 
 
-def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target: float = 0.97, sample: int = 20_000, probes: int = 200, block_rows: int = 4096, max_codes: int = 512, seed: int = 5) -> DataFrame:
+def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target: float = 0.95, least: int = 1000, sample: int = 20_000, probes: int = 200, block_rows: int = 4096, query_rows: int = 4096, max_codes: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query among all other rows.
 
     ``is_query`` is a condition on ``id``. Ties go to the smaller id. The codebooks are fitted on at
     most ``sample`` distinct vectors chosen by hash; every vector is in the index. Equal vectors are
     held once, with their k + 1 smallest ids, which is all that any list can name, so a vector that a
     third of all rows share costs no more than another. ``probes`` vectors are compared with all
-    others, a block at a time, to set how many candidates a query reranks for a recall of ``target``.
-    Rows that repeat an id with the same vector count once. No vectors give no rows.
+    others, a block at a time, to set how many candidates a query reranks for a recall of ``target``; it
+    reranks ``least`` at least, so small tables are searched whole. Rows that repeat an id with the same
+    vector count once; an id with several vectors is as many rows, and a list names no row of its query's
+    id. No vectors give no rows.
+
+    A task holds one part of a block's vectors and of the queries that visit it, some ``block_rows`` and
+    ``query_rows``.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -136,7 +141,8 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
     if not total:
         return spark.createDataFrame([], schema)
     sampled = np.array([r["v"] for r in distinct.select("u", "v").orderBy("u", "v").limit(sample).collect()])
-    codes = int(min(max_codes, max(2, math.sqrt(total / 4))))
+    # Cells of few vectors each; a walk over many small cells prunes more than one over few large ones.
+    codes = int(min(max_codes, max(2, min(3 * math.sqrt(total), total / 8))))
     half = sampled.shape[1] // 2
     books = (_kmeans(sampled[:, :half], codes), _kmeans(sampled[:, half:], codes))
     shared = spark.sparkContext.broadcast(books)  # max_codes rows of a vector's length
@@ -158,7 +164,7 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
         held += counts[cell]
         parts[at] = max(1, -(-held // block_rows))
     index = Index(books, counts, block, parts)
-    index.enough = _enough(coded, index, k, target, probes)
+    index.enough = max(least, _enough(coded, index, k, target, probes))
     sent = spark.sparkContext.broadcast(index)
 
     # Queries are distinct vectors too; their ids come back at the end.
@@ -191,7 +197,13 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
             p = [x % index.parts[y] for x, y in zip(u.to_pylist(), b)]
             yield pa.StructArray.from_arrays([pa.array(b, pa.int64()), pa.array(p, pa.int32())], names=["block", "part"])
 
+    # Queries of a part that many visit are dealt to several tasks, and its vectors go to each of these.
+    visits = scratch.table(visits)
+    deals = visits.groupBy("block", "part").agg(F.ceil(F.count("*") / query_rows).alias("deals"))
+    visits = visits.join(deals, ["block", "part"]).withColumn("deal", F.pmod("q", F.col("deals"))).drop("deals")
     held = coded.withColumn("at", place("cell", "u")).select("at.block", "at.part", "cell", "v", "ids")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal")
+    held = held.join(deals, ["block", "part"]).select("block", "part", each, "cell", "v", "ids")
 
     def rerank(_, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -211,7 +223,7 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
                 out += [(q, i, s) for s, i in pairs]
         return pd.DataFrame(out, columns=["q", "vec_id", "score"])
 
-    grouped = visits.groupBy("block", "part").cogroup(held.groupBy("block", "part"))
+    grouped = visits.groupBy("block", "part", "deal").cogroup(held.groupBy("block", "part", "deal"))
     found = grouped.applyInPandas(rerank, "q long, vec_id long, score double")
     best = Window.partitionBy("q").orderBy("score", "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)

@@ -420,6 +420,13 @@ def test_search_matches_brute_force(spark):
         hits += len(set(best) & {i for _, i, _ in found})
     assert hits / (10 * len(got)) >= 0.9
     assert [i for _, i, _ in got[600]] == list(range(500, 510))
+    # With every vector a candidate the lists are exact, however queries and vectors are dealt.
+    dealt = search(df, "vec_id", "embedding", F.col("id") % 100 == 0, least=5000, block_rows=256, query_rows=7)
+    for row in dealt.collect():
+        q = row["query_id"]
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        best = [int(i) for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        assert row["vec_id"] == best[row["rank"] - 1]
     few = search(df.where("vec_id < 3"), "vec_id", "embedding", F.col("id") == 0).orderBy("rank").collect()
     assert [r["rank"] for r in few] == [1, 2]
     assert search(df.limit(0), "vec_id", "embedding", F.col("id") == 0).count() == 0
