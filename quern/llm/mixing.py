@@ -84,7 +84,7 @@ class Mix:
     block: int
 
 
-def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], scratch: Scratch, most: float = 3.0, blocks: int = 1 << 20, seed: int = 1, fine: int = 1024) -> Mix:
+def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], scratch: Scratch, most: float = 3.0, blocks: int = 1 << 20, seed: int = 1, fine: int = 1024, broadcast_rows: int = 100_000) -> Mix:
     """Mix rows of (key, source, size) to the targets of ``targets``.
 
     A block has the smallest length for which all tokens make ``blocks`` blocks at most. A source with
@@ -92,7 +92,8 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], s
     schedule leaves others off theirs by a few of their ``fine`` or more blocks. Rows are cut
     where blocks end, and a source's stream starts anew up to ``most`` times. Rows of size 0 and null
     keys take part like others; equal rows follow each other. All is set by the rows themselves, so
-    reruns agree. Sources are few: their totals are read by the driver, one row each.
+    reruns agree. The driver reads a row a source; tables of sources are broadcast while they have
+    ``broadcast_rows`` at most.
     """
     spark = df.sparkSession
     totals = df.groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n"), F.count("*").alias("rows")).collect()
@@ -100,11 +101,13 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], s
     total, rows = sum(p.size for p in plans), sum(r["rows"] for r in totals)
     block = max(1, -(-total // blocks))
     number = {p.source: i for i, p in enumerate(plans)}
+    side = (lambda x: F.broadcast(x)) if len(plans) <= broadcast_rows else (lambda x: x)
     names = spark.createDataFrame([(i, s) for s, i in number.items()], "_source int, _name string")
     # About as many chunks as rows in each: both levels of every running sum grow as a square root.
     chunks = max(1, math.isqrt(rows))
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    numbered = df.join(F.broadcast(names), F.col(source).cast("string").eqNullSafe(F.col("_name"))).drop("_name")
+    # All columns set the order, so rows that share a key, or have none, are spread too.
+    h = F.xxhash64(F.lit(seed), F.col(key), *(F.col(f"`{c}`") for c in df.columns if c not in (key, source)))
+    numbered = df.join(side(names), F.col(source).cast("string").eqNullSafe(F.col("_name"))).drop("_name")
     # Chunks split the hash's range evenly, in its order.
     numbered = numbered.withColumn("_h", h).withColumn("_chunk", F.floor((F.shiftrightunsigned("_h", 33) * chunks) / F.lit(1 << 31)).cast("int"))
     place = Window.partitionBy("_source", "_chunk").orderBy("_order", key, size)
@@ -147,9 +150,9 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: list[float], s
 
     # What a source's slots take of its stream: blocks 0, 1, ... of the stream written ``most`` times.
     sizes = spark.createDataFrame([(i, p.size, own.get(i, block), exact.get(i, int(most * p.size))) for i, p in enumerate(plans)], "_source int, _size long, _block long, _stop long")
-    taken = ranked.groupBy("_source").agg(F.max("block").alias("_last")).join(F.broadcast(sizes), "_source")
+    taken = ranked.groupBy("_source").agg(F.max("block").alias("_last")).join(side(sizes), "_source")
     epochs = F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))
-    again = placed.where(F.col(size) > 0).join(F.broadcast(taken), "_source").withColumn("epoch", F.explode(epochs))
+    again = placed.where(F.col(size) > 0).join(side(taken), "_source").withColumn("epoch", F.explode(epochs))
     begin = (F.col("start") + F.col("epoch") * F.col("_size")).alias("_begin")
     again = again.select("_source", "_chunk", "_place", "epoch", begin, F.col(size).alias("_n"), "_last", "_block", "_stop")
     end = F.least(F.col("_begin") + F.col("_n"), F.col("_stop"))

@@ -38,7 +38,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = ["_source", "_chunk", "_place"]
     taken = own.pieces.groupBy(*at).agg(F.sum("length").alias("taken"))
     told = spark.createDataFrame([(i, p.size, p.target) for i, p in enumerate(own.plans)], "_source int, source_size long, target double")
-    out = own.rows.join(taken, at, "left").join(F.broadcast(told), "_source")
+    out = own.rows.join(taken, at, "left").join(F.broadcast(told) if len(own.plans) <= 100_000 else told, "_source")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 

@@ -200,6 +200,58 @@ def test_mix_meets_small_targets_with_long_blocks(spark):
     assert taken[3]["first"] < 100 and taken[3]["last"] > 0.99 * max(x["last"] for x in taken.values())  # all along the schedule
 
 
+def test_mix_of_many_sources_is_the_schedule(spark):
+    """The same schedule a slot at a time: 90 sources, more than a chain of conditions is made for."""
+    r = random.Random(22)
+    rows = [(i if i % 9 else None, f"s{i % 90:02d}" if i % 90 else None, r.randrange(40, 400)) for i in range(3600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    own = mix(df, "doc_id", "source", "size", [1.0, 2.0, 3.0], Scratch(spark), blocks=1 << 14, fine=64)
+    assert own.block > 1
+    large = [i for i, p in enumerate(own.plans) if p.target >= 64 * own.block]
+    assert len(large) > 64
+    wide = sum(own.plans[i].target for i in large)
+    highs = [round(sum(own.plans[i].target for i in large[: n + 1]) / wide * 2**32) for n in range(len(large))]
+    ranks, want = Counter(), {}
+    for slot in range(-(-int(wide) // own.block)):
+        i = next((i for i, high in zip(large, highs) if slot * 2654435769 % 2**32 < high), None)
+        if i is not None:
+            want[slot] = (i, ranks[i])
+            ranks[i] += 1
+    got = {x["slot"]: (x["_source"], x["block"]) for x in own.pieces.where(F.col("_source").isin(large)).select("slot", "_source", "block").distinct().collect()}
+    assert got == want
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    taken = {x["_source"]: x["n"] for x in own.pieces.groupBy("_source").agg(F.sum("length").alias("n")).collect()}
+    for i, p in enumerate(own.plans):
+        assert p.size == sizes[p.source] and abs(taken[i] - p.target) <= 0.1 * p.target
+
+
+def test_packing_keeps_limits_of_loss(spark):
+    """Turns of conversations: what the assistant says bears loss, which has a limit below the tokens'."""
+    r = random.Random(23)
+    rows = [(i, prose(r, r.randrange(1, 200)), r.randrange(0, 60)) for i in range(120)] + [(900, None, 0), (901, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, loss_from long")
+    limits = Limits(96, 3, 40)
+    got = pack(df.coalesce(2), "doc_id", "text", "byte_bpe_50k.json", limits, loss_from="loss_from").collect()
+    start = {d: loss or 0 for d, _, loss in rows}
+    by, of = defaultdict(list), defaultdict(list)
+    for x in got:
+        by[x["sequence_id"]].append(x)
+        of[x["doc_id"]].append((x["start"], x["length"], x["doc_tokens"]))
+    for pieces in by.values():
+        loss = sum(max(0, x["start"] + x["length"] - max(x["start"], start[x["doc_id"]])) for x in pieces)
+        assert sum(x["length"] for x in pieces) <= 96 and len(pieces) <= 3 and loss <= 40
+    assert set(of) == set(start)
+    for pieces in of.values():
+        at = 0
+        for s, n, _ in sorted(pieces):
+            assert s == at
+            at += n
+        assert at == pieces[0][2]
+    assert len(by) <= 1.35 * max(sum(x["length"] for x in got) / 96, sum(max(0, x["doc_tokens"] - start[x["doc_id"]]) for x in got if not x["start"]) / 40)
+
+
 def brute_components(rows, n=4, percent=85):
     sets = []
     for d, t, *_ in rows:
