@@ -194,8 +194,9 @@ class Engine:
     def manual_tags(self) -> DataFrame:
         return G.manual_counts(self.tag_rows)
 
-    def learn_labels(self, embedder: P.Embedder, labels: dict[str, str]) -> None:
+    def learn_labels(self, embedder: P.Embedder, labels: dict[str, str] | None = None) -> None:
         """Replace all learnt labels by those of descriptions and of examples given by hand."""
+        labels = L.DEFAULT_LABELS if labels is None else labels
         vectors = self.vectors.withColumn("vec_id", F.xxhash64("hash", "chunk"))
         told = L.by_description(vectors, {k: embedder.query(v) for k, v in labels.items()}, embedder.min_score + L.MARGIN).select("hash", F.col("label").alias("tag"), F.lit("meaning").alias("source"), "score")
         like = L.by_example(vectors, self.tag_rows, embedder.min_score).select("hash", F.col("label").alias("tag"), F.lit("examples").alias("source"), "score")

@@ -47,6 +47,31 @@ def static_model(rows, ids: Callable[[str], list[int]], unknown: int | None = No
     return run
 
 
+def saved_table(path: str):
+    """The first two-dimensional table of 32-bit numbers in a file of named tensors: a length, a header in
+    JSON, then the numbers. The file is mapped, not read."""
+    import json
+
+    import numpy as np
+
+    with open(path, "rb") as f:
+        n = int.from_bytes(f.read(8), "little")
+        header = json.loads(f.read(n))
+    told = next((t for k, t in sorted(header.items()) if k != "__metadata__" and t["dtype"] == "F32" and len(t["shape"]) == 2), None)
+    if told is None:
+        raise ValueError(f"{path} has no table of 32-bit numbers")
+    return np.memmap(path, np.float32, "r", 8 + n + told["data_offsets"][0], tuple(told["shape"]))
+
+
+def load_model(folder: str) -> Callable[[list[str]], list[list[float]]]:
+    """The static model in a folder: its table of vectors and its tokenizer's file."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+    unknown = tokenizer.token_to_id("[UNK]")
+    return static_model(saved_table(f"{folder}/model.safetensors"), lambda t: tokenizer.encode(t, add_special_tokens=False).ids, unknown)
+
+
 def remote_model(ask: Callable[[list[str]], list[dict]], batch: int = REMOTE_BATCH) -> Callable[[list[str]], list[list[float]]]:
     """Passages' vectors by a service: ``ask`` sends up to ``batch`` texts and gives rows of index and
     embedding, in any order; vectors are brought to unit length."""

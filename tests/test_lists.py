@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import calculator as K
 from quern.functions import clock as C
 from quern.functions import fingerprint as P
+from quern.operators import bundled as B
 from quern.operators import meaning as M
 from quern.operators import providers as L
 from quern.operators.plugins import Embedder
@@ -243,3 +244,47 @@ def test_learning_round():
     engine = Known()
     assert W.learn(engine, Embedder("e", list), ["p1", "p2"], {}) == {"embedded": 4, "processed": 2}
     assert engine.calls == ["embed", "p1", "p2", "embed", "labels"] and sys.version_info >= (3, 11)
+
+
+def test_bundled_plugins(spark):
+    import io
+
+    apps = spark.createDataFrame([("Garden Planner", [""])], "name string, other_names array<string>")
+    own = B.registry({"apps": apps})
+    assert [x["title"] for x in own["apps"]("gard", {})] == ["Garden Planner"] and own["system"]("sleep", {}) == [{"title": "Sleep", "fills": None}]
+    assert [x["subtitle"] for x in own["web-search"]("leek & soup", {"first": "github"})] == ["github.com", "google.com", "duckduckgo.com"]
+    assert own["web-search"]("leek & soup", {})[0]["action"]["open"].endswith("q=leek+%26+soup") and own["web-search"]("", {})[0]["action"]["open"] == "https://google.com"
+    now = datetime(2024, 3, 6, tzinfo=ZoneInfo("UTC"))
+    assert own["calculator"]("6*7", {"now": now})[0]["title"] == "42" and own["calculator"]("today + 1 day", {"now": now})[0]["subtitle"] == "tomorrow" and own["calculator"]("leek", {"now": now}) == []
+    out = io.StringIO()
+    B.serve(own["calculator"], ['{"query": "2+3"}', "broken", '{"query": 5}'], out)
+    told = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert told[0]["items"][0]["title"] == "5" and "error" in told[1] and "error" in told[2]
+    assert sorted(B.registry({})) == ["calculator", "web-search"]
+
+
+def test_saved_table(tmp_path):
+    table = np.arange(6, dtype=np.float32).reshape(3, 2)
+    header = json.dumps({"__metadata__": {}, "ids": {"dtype": "I64", "shape": [1], "data_offsets": [24, 32]}, "v": {"dtype": "F32", "shape": [3, 2], "data_offsets": [0, 24]}}).encode()
+    (tmp_path / "m").write_bytes(len(header).to_bytes(8, "little") + header + table.tobytes() + b"\0" * 8)
+    assert np.array_equal(M.saved_table(str(tmp_path / "m")), table)
+
+
+def test_command_line(spark, tmp_path):
+    from quern import cli
+    from quern.engine import Engine
+
+    home = tmp_path / "plot"
+    (home / "beds").mkdir(parents=True)
+    (home / "beds" / "leekRows.md").write_text("plant leeks in rows\nwater them")
+    (home / "beds" / "leekRows copy.md").write_text("plant leeks in rows\nwater them twice")
+    engine, said = Engine(spark), []
+    go = lambda *argv: (said.clear(), cli.run(["--home", str(home), *argv], engine, said.append, int(time.time()) + 7200))[1]
+    assert go("index") == 0 and said[0].startswith("3 files, 3 new")
+    assert go("search", "leek", "ext:md") == 0 and said[0].splitlines()[0].startswith("doc     leekRows") and "~/beds  ·  2h · " in said[0]
+    assert go("s", "water") == 0 and "water them" in said[0] and go("s", "rhubarb") == 0 and said == ["Nothing found."]
+    assert go("tag", str(home / "beds" / "leekRows.md"), "+Spring Bed") == 0 and said == ["#spring-bed"]
+    assert go("tag", str(home / "beds" / "leekRows.md"), "-spring-bed") == 0 and said == ["No tags."]
+    assert go("dupes", "--names") == 0 and said[0].startswith("Same name · 2 files") and said[-1] == "1 groups, 30 B spare"
+    assert go("search", "kind:vegetable") == 2 and "vegetable" in said[0]
+    assert go("reindex", str(home / "beds")) == 0
