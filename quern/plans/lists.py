@@ -171,14 +171,14 @@ def duck_apps(q: str, limit: int) -> str:
     return f"WITH {DUCK_APPS}, k AS (SELECT k, name, CASE WHEN starts_with(lower(name), '{q}') THEN 0 WHEN {begin('w')} THEN 1 WHEN {short} THEN 2 WHEN {begin('o')} THEN 3 END AS rank FROM e) SELECT name, rank FROM k WHERE rank IS NOT NULL ORDER BY rank, strlen(name), name LIMIT {limit}"
 
 
-@query(duck_apps("st", 25))
+@query(duck_apps("sr", 25))
 def apps_ranked(x: Fixtures) -> DataFrame:
-    return P.apps(P.shadowed(app_entries(x)), "ST", 25).select("name", "rank")
+    return P.apps(P.shadowed(app_entries(x)), "SR", 25).select("name", "rank")
 
 
-@query(duck_apps("br st", 25))
+@query(duck_apps("ri sm", 25))
 def apps_by_words(x: Fixtures) -> DataFrame:
-    return P.apps(P.shadowed(app_entries(x)), " br st", 25).select("name", "rank")
+    return P.apps(P.shadowed(app_entries(x)), " ri SM", 25).select("name", "rank")
 
 
 @query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_partkey // 2 ORDER BY p_partkey % 3) AS r FROM part) SELECT 'app' || (p_partkey // 2) AS id, p_partkey % 3 AS dir_rank FROM p WHERE r = 1")
