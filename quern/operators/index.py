@@ -1,8 +1,9 @@
 """The stored full-text index: postings by token, phrases by joins of places, BM25 over columns.
 
-A posting is a token, a field, a file and the token's places there. The table is sorted by token, so
-a term reads the row groups of its tokens and nothing of the texts; a hot token's postings lie in as
-many tasks as their bytes need, since files spread them.
+A posting is a token, a field, a file and a place of the token there. The table is sorted by token and
+file, so a term reads the row groups of its tokens and nothing of the texts, equal values lie together and
+take few bytes, and a hot token's postings lie in as many parts as they need. Nothing is gathered: building
+is one pass over the texts and one sort.
 """
 
 from __future__ import annotations
@@ -29,11 +30,20 @@ def fields(files: DataFrame, home: str = "/home/u") -> DataFrame:
 
 
 def postings(files: DataFrame, home: str = "/home/u") -> DataFrame:
-    """(token, field, id, places) of files (id, name, path and perhaps text)."""
+    """(token, field, id, place) of files (id, name, path and perhaps text)."""
     own = fields(files, home)
     each = own.select("id", F.posexplode(F.array("name_tokens", "dirs_tokens", "body_tokens")).alias("field", "tokens"))
-    rows = each.select("id", "field", F.posexplode("tokens").alias("place", "token"))
-    return rows.groupBy("token", "field", "id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return each.select("id", "field", F.posexplode("tokens").alias("place", "token")).select("token", "field", "id", "place")
+
+
+def _sizes(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, n): the tokens of every file, 0 for those without any."""
+    counts = rows.groupBy("id").agg(F.count("*").alias("n"))
+    return files.select("id").join(counts, "id", "left").fillna(0, ["n"])
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.repartitionByRange("token", "id").sortWithinPartitions("token", "id", "field", "place").write.parquet(path)
 
 
 class Index:
@@ -46,11 +56,8 @@ class Index:
     def build(cls, files: DataFrame, path: str, home: str = "/home/u") -> Index:
         """Write the index of ``files`` below ``path``, sorted by token."""
         spark = files.sparkSession
-        rows = postings(files, home).repartitionByRange("token", "id").sortWithinPartitions("token", "id")
-        rows.write.mode("overwrite").parquet(f"{path}/postings")
-        counts = spark.read.parquet(f"{path}/postings").groupBy("id").agg(F.sum(F.size("places")).cast("long").alias("n"))
-        # A file without a token counts as well.
-        files.select("id").join(counts, "id", "left").fillna(0, ["n"]).write.mode("overwrite").parquet(f"{path}/sizes")
+        _write(postings(files, home), f"{path}/postings")
+        _sizes(files, spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/sizes")
         return cls.load(spark, path)
 
     @classmethod
@@ -60,11 +67,9 @@ class Index:
     def refreshed(self, changed: DataFrame, gone: DataFrame, path: str, home: str = "/home/u") -> Index:
         """The index with ``changed`` files read anew and those of ``gone`` (id) left out."""
         off = changed.select("id").unionByName(gone.select("id")).distinct()
-        kept = self.postings.join(off, "id", "left_anti").unionByName(postings(changed, home).select(self.postings.columns))
-        kept.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(f"{path}/postings")
-        fresh = postings(changed, home).groupBy("id").agg(F.sum(F.size("places")).cast("long").alias("n"))
-        fresh = changed.select("id").join(fresh, "id", "left").fillna(0, ["n"])
-        self.sizes.join(off, "id", "left_anti").unionByName(fresh).write.parquet(f"{path}/sizes")
+        fresh = postings(changed, home)
+        _write(self.postings.join(off, "id", "left_anti").unionByName(fresh), f"{path}/postings")
+        self.sizes.join(off, "id", "left_anti").unionByName(_sizes(changed, fresh)).write.parquet(f"{path}/sizes")
         return Index.load(changed.sparkSession, path)
 
     def phrase(self, words: list[str], exact: bool, within: Iterable[int] = (NAME, DIRS, BODY)) -> DataFrame:
@@ -78,12 +83,10 @@ class Index:
                 return F.col("token") == w
             return (F.col("token") >= w) & F.startswith("token", F.lit(w))
 
-        if not last:
-            return rows.where(of(0)).groupBy("id", "field").agg(F.sum(F.size("places")).alias("n"))
         met = None
         for i in range(last + 1):
             # Places where the phrase would begin.
-            at = rows.where(of(i)).select("id", "field", F.explode("places").alias("at")).withColumn("at", F.col("at") - i)
+            at = rows.where(of(i)).select("id", "field", (F.col("place") - i).alias("at"))
             met = at if met is None else met.join(at, ["id", "field", "at"])
         return met.groupBy("id", "field").agg(F.count("*").alias("n"))
 
@@ -124,7 +127,8 @@ class Index:
 
     def counts(self) -> DataFrame:
         """(token, files, places) of bodies: the commonness of every word."""
-        return self.postings.where(F.col("field") == BODY).groupBy("token").agg(F.count("*").alias("files"), F.sum(F.size("places")).alias("places"))
+        each = self.postings.where(F.col("field") == BODY).groupBy("token", "id").agg(F.count("*").alias("n"))
+        return each.groupBy("token").agg(F.count("*").alias("files"), F.sum("n").alias("places"))
 
 
 def searches_body(term: Term) -> bool:
