@@ -59,5 +59,5 @@ def by_example(vectors: DataFrame, tags: DataFrame, least: float, most_tags: int
     table = F.collect_list(F.struct("label", "centre", "radius"))
     near = means.crossJoin(F.broadcast(around.agg(table.alias("tags"))))
     scored = F.transform("tags", lambda t: F.struct(t["label"].alias("label"), dot(F.col("vector"), t["centre"]).alias("score"), t["radius"].alias("radius")))
-    near = near.select("hash", F.explode(F.filter(scored, lambda t: t["score"] >= F.greatest(t["radius"], F.lit(least)))).alias("t"))
+    near = near.select("hash", F.explode(F.filter(scored, lambda t: t["score"] >= F.greatest(t["radius"], F.lit(least)) - 1e-12)).alias("t"))
     return near.select("hash", "t.label", "t.score")

@@ -513,7 +513,10 @@ def fts_snippet(x: Fixtures) -> DataFrame:
     return x.files(True).select("id", snippet(F.col("text"), ["that", "with"]).alias("line"))
 
 
-@query()
+@query("""WITH v AS (SELECT 'v' || (vec_id // 4) AS hash, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT hash, i, sum(x) AS x FROM v GROUP BY ALL),
+m AS (SELECT hash, i, x / sqrt(sum(x * x) OVER (PARTITION BY hash)) AS x FROM s), t AS (SELECT DISTINCT 'v' || (vec_id // 4) AS hash, 'label' || label AS label FROM embeddings WHERE label < 4 AND vec_id % 10 = 0),
+e AS (SELECT * FROM t WHERE label IN (SELECT label FROM t GROUP BY label HAVING count(*) > 1)), c0 AS (SELECT label, i, sum(x) AS x FROM e JOIN m USING (hash) GROUP BY ALL), c AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM c0),
+d AS (SELECT m.hash, c.label, sum(m.x * c.x) AS d FROM m JOIN c USING (i) GROUP BY ALL), r AS (SELECT label, min(d) AS radius FROM d JOIN e USING (hash, label) GROUP BY label) SELECT hash, label, round(d, 6) AS score FROM d JOIN r USING (label) WHERE d >= greatest(radius, 0.3) - 1e-12""")
 def label_by_example(x: Fixtures) -> DataFrame:
     from quern.operators.labels import by_example
 
