@@ -40,22 +40,26 @@ class Index:
         return a.astype(np.int64) * len(self.books[1]) + b
 
     def cells(self, q: np.ndarray) -> Iterator[int]:
-        """Non-empty cells by summed distance: the multi-sequence walk over both sorted lists."""
+        """Non-empty cells by summed distance: the walk over both sorted lists, which merges the sums of each
+        of the first list's centroids, opened when the one before it has given its nearest."""
         half = self.books[0].shape[1]
         d = [((book - part) ** 2).sum(axis=1) for part, book in zip((q[:half], q[half:]), self.books)]
-        o = [np.argsort(x, kind="stable") for x in d]
-        d = [x[i] for x, i in zip(d, o)]
-        width = len(self.books[1])
-        heap, seen = [(d[0][0] + d[1][0], 0, 0)], {(0, 0)}
+        orders = [np.argsort(x, kind="stable") for x in d]
+        (a, b), (da, db) = [o.tolist() for o in orders], [x[o].tolist() for x, o in zip(d, orders)]
+        width, counts, last = len(b), self.counts, len(b) - 1
+        rows = [x * width for x in a]
+        heap = [(da[0] + db[0], 0, 0)]
         while heap:
-            _, i, j = heapq.heappop(heap)
-            cell = int(o[0][i]) * width + int(o[1][j])
-            if cell in self.counts:
+            _, i, j = heap[0]
+            if j < last:
+                heapq.heapreplace(heap, (da[i] + db[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+            if not j and i + 1 < len(rows):
+                heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+            cell = rows[i] + b[j]
+            if cell in counts:
                 yield cell
-            for a, b in ((i + 1, j), (i, j + 1)):
-                if a < len(d[0]) and b < len(d[1]) and (a, b) not in seen:
-                    seen.add((a, b))
-                    heapq.heappush(heap, (d[0][a] + d[1][b], a, b))
 
     def visited(self, q: np.ndarray) -> list[int]:
         out, held = [], 0
@@ -142,7 +146,7 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
         return spark.createDataFrame([], schema)
     sampled = np.array([r["v"] for r in distinct.select("u", "v").orderBy("u", "v").limit(sample).collect()])
     # Cells of few vectors each; a walk over many small cells prunes more than one over few large ones.
-    codes = int(min(max_codes, max(2, min(3 * math.sqrt(total), total / 8))))
+    codes = int(min(max_codes, max(2, min(math.sqrt(total), total / 8))))
     half = sampled.shape[1] // 2
     books = (_kmeans(sampled[:, :half], codes), _kmeans(sampled[:, half:], codes))
     shared = spark.sparkContext.broadcast(books)  # max_codes rows of a vector's length
