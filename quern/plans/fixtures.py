@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.model import kind_of, level_of
 from quern.operators.index import Index
-from quern.sources.scratch import scratch_root
+from quern.sources.scratch import exists, scratch_root
 
 START = 1_704_067_200
 NOW = START + 400 * 86_400
@@ -48,7 +48,7 @@ class Fixtures:
     def index(self) -> Index:
         """The stored index of all files, built by the first query of a session that needs it."""
         key = (self.spark.sparkContext.applicationId, self.dir)
-        if key not in _INDEXES:
+        if key not in _INDEXES or not exists(self.spark, f"{_INDEXES[key]}/sizes/_SUCCESS"):
             _INDEXES[key] = f"{scratch_root(self.spark)}/quern-index-{uuid.uuid4().hex}"
             return Index.build(self.files(True), _INDEXES[key], HOME)
         return Index.load(self.spark, _INDEXES[key])

@@ -19,6 +19,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 class Scratch:
     """Numbered Parquet tables in a folder of their own."""
 
