@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, n_words, table
+from quern.llm.common import Scratch, n_words, spaced, table
 from quern.llm.mixing import mix
 from quern.llm.ngram_join import link
 from quern.llm.packing import Limits, pack
@@ -98,7 +98,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for k, v in row.items():
         same &= v.eqNullSafe(F.col(f"taken.{k}"))
     rows = once.alias("rows").join(_side(taken).alias("taken"), same)
-    words = F.array_remove(F.split(F.translate("rows.text", "\t\n\x0b\x0c\r", "     "), " "), "")
+    words = F.array_remove(F.split(spaced(F.col("rows.text")), " "), "")
     part = F.array_join(F.slice(words, (F.col("taken._from") + 1).cast("int"), F.col("taken._length").cast("int")), " ")
     text = F.when(F.col("taken._length") < F.col("taken._size"), part).otherwise(F.col("rows.text"))
     shown = {"text": text}

@@ -39,10 +39,15 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def spaced(text: Column) -> Column:
+    """A text with one space for each character of white space. (``translate`` looks every character up and
+    takes some five times as long.)"""
+    return F.regexp_replace(text, r"[\x09-\x0D]", " ")
+
+
 def n_words(text: Column) -> Column:
-    """Words of a text; ``split`` takes one plain character, for which it needs no regex."""
-    spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.array_remove(F.split(spaced, " "), "")).cast("long"), F.lit(0).cast("long"))
+    """Words of a text; none of a null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def vocabulary_file(name: str) -> str:

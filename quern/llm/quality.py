@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.graph import components
 
-from .common import Scratch
+from .common import WORD, Scratch, spaced
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -40,7 +40,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def _normal(line: Column) -> Column:
     """Lower case, digits alike, no white space at the ends."""
-    return F.trim(F.translate(F.lower(line), "0123456789\t\r\x0b\x0c", "0000000000    "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), r"[\x09\x0B-\x0D]", " "))
 
 
 def _hash(text: Column) -> Column:
@@ -56,14 +56,14 @@ def with_counts(df: DataFrame, text: str, signatures: bool = False) -> DataFrame
     with ``_q_``, as no input's should. Write the result before filtering by it, as ``judged`` does: a
     condition would be moved below the arrays and make them anew for each of their elements.
     """
-    spaced = F.translate(F.col(text), "\t\n\x0b\x0c\r", "     ")
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
-    out = df.withColumns({"_q_words": F.array_remove(F.split(spaced, " "), ""), "_q_lines": lines})
+    own = spaced(F.col(text))
+    lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    out = df.withColumns({"_q_words": F.array_remove(F.split(own, " "), ""), "_q_lines": lines})
     out = out.withColumns(
         {
             "n_words": F.coalesce(F.size("_q_words").cast("long"), F.lit(0).cast("long")),
-            "word_chars": F.coalesce(F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long"), F.lit(0).cast("long")),
-            "n_symbols": F.coalesce((F.length(text) - F.length(F.translate(F.col(text), SYMBOLS, ""))).cast("long"), F.lit(0).cast("long")),
+            "word_chars": F.coalesce(F.length(F.array_join("_q_words", "")).cast("long"), F.lit(0).cast("long")),
+            "n_symbols": F.coalesce(F.regexp_count(F.col(text), F.lit(f"[{SYMBOLS}]")).cast("long"), F.lit(0).cast("long")),
             "n_dup_lines": F.coalesce((F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"), F.lit(0).cast("long")),
             "_q_hashes": F.transform("_q_words", lambda x: F.xxhash64(x)),
         }
