@@ -39,18 +39,17 @@ class Index:
         a, b = (_nearest(part, book) for part, book in zip((x[:, :half], x[:, half:]), self.books))
         return a.astype(np.int64) * len(self.books[1]) + b
 
-    def cells(self, q: np.ndarray) -> Iterator[int]:
-        """Non-empty cells by summed distance: the walk over both sorted lists, which merges the sums of each
+    def cells(self, q: np.ndarray) -> Iterator[tuple[int, float]]:
+        """Non-empty cells with their summed distances, in the order of these: the walk over both sorted lists, which merges the sums of each
         of the first list's centroids, opened when the one before it has given its nearest."""
-        half = self.books[0].shape[1]
-        d = [((book - part) ** 2).sum(axis=1) for part, book in zip((q[:half], q[half:]), self.books)]
+        d = self.distances(q)
         orders = [np.argsort(x, kind="stable") for x in d]
         (a, b), (da, db) = [o.tolist() for o in orders], [x[o].tolist() for x, o in zip(d, orders)]
         width, counts, last = len(b), self.counts, len(b) - 1
         rows = [x * width for x in a]
         heap = [(da[0] + db[0], 0, 0)]
         while heap:
-            _, i, j = heap[0]
+            far, i, j = heap[0]
             if j < last:
                 heapq.heapreplace(heap, (da[i] + db[j + 1], i, j + 1))
             else:
@@ -59,16 +58,22 @@ class Index:
                 heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
             cell = rows[i] + b[j]
             if cell in counts:
-                yield cell
+                yield cell, far
+
+    def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of a query's halves to the centroids."""
+        half = self.books[0].shape[1]
+        return tuple(((book - part) ** 2).sum(axis=1) for part, book in zip((q[:half], q[half:]), self.books))
 
-    def visited(self, q: np.ndarray) -> list[int]:
-        out, held = [], 0
-        for cell in self.cells(q):
-            out.append(cell)
+    def reach(self, q: np.ndarray) -> tuple[set[int], float]:
+        """Blocks of the cells that hold enough vectors, nearest cells first, and how far the last one is."""
+        out, held, far = set(), 0, 0.0
+        for cell, far in self.cells(q):
+            out.add(self.block[cell])
             held += self.counts[cell]
             if held >= self.enough:
                 break
-        return out
+        return out, far
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -181,16 +186,15 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
             q, v = batch.column(0).to_pylist(), _rows(batch, 1)
             out = [[], [], [], []]
             for i in range(len(q)):
-                per: dict[int, list[int]] = {}
-                for cell in index.visited(v[i]):
-                    per.setdefault(index.block[cell], []).append(cell)
-                for b, cells in per.items():
+                blocks, far = index.reach(v[i])
+                for b in blocks:
                     for part in range(index.parts[b]):
-                        for column, x in zip(out, (b, part, i, cells)):
+                        for column, x in zip(out, (b, part, i, far)):
                             column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), batch.column(0).take(pa.array(out[2], pa.int64())), batch.column(1).take(pa.array(out[2], pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["block", "part", "q", "v", "cells"])
+            at = pa.array(out[2], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(out[3], pa.float64())], names=["block", "part", "q", "v", "far"])
 
-    visits = queries.select("q", "v").repartition(spark.sparkContext.defaultParallelism).mapInArrow(visit, "block long, part int, q long, v array<double>, cells array<long>")
+    visits = queries.select("q", "v").repartition(spark.sparkContext.defaultParallelism).mapInArrow(visit, "block long, part int, q long, v array<double>, far double")
 
     @F.arrow_udf("struct<block: long, part: int>")
     def place(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -212,11 +216,12 @@ def search(df: DataFrame, key: str, vector: str, is_query, k: int = 10, target:
     def rerank(_, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(own):
-            own = own.sort_values("cell", kind="stable")
-            x, cells, ids = np.stack(own["v"].to_numpy()), own["cell"].to_numpy(), own["ids"].to_numpy()
-            for q, v, wanted in zip(asked["q"], asked["v"], asked["cells"]):
-                ends = [np.searchsorted(cells, wanted, side=s) for s in ("left", "right")]
-                pick = np.concatenate([np.arange(a, b) for a, b in zip(*ends)])
+            index = sent.value
+            x, ids = np.stack(own["v"].to_numpy()), own["ids"].to_numpy()
+            one, two = np.divmod(own["cell"].to_numpy(), len(index.books[1]))
+            for q, v, far in zip(asked["q"], asked["v"], asked["far"]):
+                a, b = index.distances(np.asarray(v))
+                pick = np.flatnonzero(a[one] + b[two] <= far)  # the cells that the walk came to
                 if not len(pick):
                     continue
                 d = distances(v[None, :], x[pick])[0]
@@ -268,7 +273,7 @@ def _enough(coded: DataFrame, index: Index, k: int, target: float, probes: int)
     need = []
     for i, cells in true.groupby("i")["cell"]:
         wanted, held = cells.tolist(), 0
-        for cell in index.cells(q[int(i)]):
+        for cell, _ in index.cells(q[int(i)]):
             held += index.counts[cell]
             need += [held] * wanted.count(cell)
     need.sort()
