@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .wordids import LETTERS, word_hashes
+from .wordids import FACTORS, LETTERS, mixed, word_hashes
 
 #: Words of a stretch, and words that are added to every length so that one word is no proof.
 STRETCH, PRIOR = 24, 4
@@ -144,19 +144,75 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.evidence(texts) @ self.weights[1:], -30, 30)))
 
 
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * FACTORS[0] + b * FACTORS[1])
+
+
+class _Filter:
+    """A Bloom filter of at most ``most_bits``, made by the executors: ``holds`` is true of every hash that
+    is in the table and of few others."""
+
+    def __init__(self, keys: DataFrame, hashed, count: int, most_bits: int = 1 << 28):
+        size = 64
+        while size < min(12 * count, most_bits):
+            size *= 2
+        self.size = size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.sort(np.concatenate(_spots(hashed(*(c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)), size)))
+                slot, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+                new = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.empty(0, np.int64)
+                bits = np.bitwise_or.reduceat(bit, new) if len(new) else bit
+                yield pa.RecordBatch.from_arrays([pa.array(slot[new].view(np.int64)), pa.array(bits.view(np.int64))], names=["slot", "bits"])
+
+        got = keys.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+        self.bits = np.zeros(size // 64, np.uint64)
+        self.bits[got["slot"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for at in _spots(h, self.size):
+            out &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def _spots(h: np.ndarray, size: int) -> list[np.ndarray]:
+    step = mixed(h) | np.uint64(1)
+    return [(h + np.uint64(i) * step) & np.uint64(size - 1) for i in range(4)]
+
+
+def _commonest(df: DataFrame, n: str, most: int) -> tuple[DataFrame, bool]:
+    """Rows of the highest ``n``, at most ``most``, and whether these are all."""
+    least = 1
+    while (common := df.where(F.col(n) >= least)).count() > most:
+        least *= 2
+    return common, least == 1
+
+
+def _lists(values: list[np.ndarray | None], kind) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in values]))).astype(np.int32)
+    flat = np.concatenate([x for x in values if x is not None] or [np.empty(0)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind), mask=pa.array([x is None for x in values], pa.bool_()))
+
+
 class Tables:
     """The same model where it is too large to broadcast: gains of words (k, gain) and of pairs (a, b,
-    gain) are tables, joined with the words of the texts. The ``most`` commonest words are looked up
-    where the texts are read, so no task gets all places of a common one."""
+    gain) are tables. The ``most`` commonest words and pairs are looked up where the texts are read, and
+    filters tell which others the tables have; only these become rows, which are joined. So the rows
+    on disk are of rare expressions, not of all places of all texts.
+
+    ``pairs`` are those of ``words`` with their counts (a, b, n0, n1), counted here if not given."""
 
-    def __init__(self, counted: DataFrame, words: DataFrame, totals: list[int], discounts: list[float], most: int, scratch: Scratch):
+    def __init__(self, counted: DataFrame, words: DataFrame, totals: list[int], discounts: list[float], most: int, scratch: Scratch, pairs: DataFrame | None = None):
         self.scratch, self.weights = scratch, np.array([-3.0, 1.0, 1.0])
         every, spans = max(sum(totals), 1), [max(t, 1) for t in totals]
         words = scratch.table(words)
-        pairs = _pair_counts(counted)
-        for side in ("a", "b"):
-            pairs = pairs.join(words.select(F.col("k").alias(side)), side, "left_semi")
-        pairs = scratch.table(pairs)
+        if pairs is None:
+            pairs = _pair_counts(counted)
+            for side in ("a", "b"):
+                pairs = pairs.join(words.select(F.col("k").alias(side)), side, "left_semi")
+            pairs = scratch.table(pairs)
         after = pairs.groupBy(F.col("b").alias("k")).agg(F.count("*").alias("after"))
         words = scratch.table(words.join(after, "k", "left").withColumn("after", F.coalesce("after", F.lit(0))))
         size, behind, *lost = words.agg(F.count("*"), F.sum("after"), *(F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(discounts[c]))) for c in (0, 1))).first()
@@ -179,47 +235,83 @@ class Tables:
         expected = [float(totals[c]) * F.col(f"r{c}") for c in (0, 1)]
         expected = m * expected[1] / F.greatest(expected[0] + expected[1], F.lit(1e-12))
         gain = F.col("own") + _sure_column(F.log(high[1] / high[0]) - F.col("own"), F.col("m1"), expected)
-        self.pairs = scratch.table(kept.join(taken, "a").select("a", "b", gain.alias("gain")))
-        least = 1
-        while (common := self.words.where(F.col("n") >= least)).count() > most:
-            least *= 2
+        self.pairs = scratch.table(kept.join(taken, "a").select("a", "b", gain.alias("gain"), m.alias("m")))
+        scratch.drop(kept)
+        common, all_words = _commonest(self.words, "n", most)
         got = common.select("k", "gain").toPandas()
         order = np.argsort(k := got["k"].to_numpy(np.int64).view(np.uint64))
-        self.common = counted.sparkSession.sparkContext.broadcast((k[order], got["gain"].to_numpy(float)[order]))
+        told = [k[order], got["gain"].to_numpy(float)[order]]
+        common, all_pairs = _commonest(self.pairs, "m", most)
+        got = common.select("a", "b", "gain").toPandas()
+        a, b = (got[x].to_numpy(np.int64).view(np.uint64) for x in ("a", "b"))
+        order = np.argsort(h := _pair_hash(a, b))
+        told += [h[order], a[order], b[order], got["gain"].to_numpy(float)[order]]
+        told.append(None if all_words else _Filter(self.words.select("k"), mixed, size))
+        told.append(None if all_pairs else _Filter(self.pairs.select("a", "b"), _pair_hash, self.pairs.count()))
+        self.all_words, self.common = all_words, counted.sparkSession.sparkContext.broadcast(tuple(told))
 
     def evidence(self, texts: DataFrame) -> DataFrame:
         """(_t, _u, a, b), written: evidence of each distinct text of ``texts`` (text) by two hashes of
         it. Texts without any are left out: theirs is 0."""
         common = self.common
+        fields = {"_t": pa.int64(), "_u": pa.int64(), "n": pa.int32(), "a": pa.int64(), "b": pa.int64(), "spots": pa.list_(pa.int32()), "gains": pa.list_(pa.float64()), "x": pa.float64(), "y": pa.float64()}
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, gains = common.value
+            """Of a text that the commonest expressions settle, its evidence (x, y); of another, what they give
+            (spots and gains), and a row for each distinct pair that is to be looked up: the word b after a
+            (null at the start), its places, and the word's own gain if known."""
+            known, gains, hashes, firsts, seconds, pair_gains, rare_words, rare_pairs = common.value
             for batch in batches:
-                for i, ids in enumerate(_ids(batch.column(2))):
+                rows: list[tuple] = []
+                for t, u, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _ids(batch.column(2))):
                     if not len(ids):
                         continue
-                    before = np.concatenate((ids[:1], ids[:-1]))  # the first word has none: see `start`
-                    start = np.arange(len(ids)) == 0
-                    order = np.lexsort((np.arange(len(ids)), ids, before, start))
-                    a, b, s = before[order], ids[order], start[order]
-                    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1]))))
-                    a, b, s = a[new], b[new], s[new]
-                    own = np.zeros(len(b))
-                    hit = np.zeros(len(b), bool)
+                    own, hit = np.zeros(len(ids)), np.zeros(len(ids), bool)
                     if len(known):
-                        at = np.minimum(np.searchsorted(known, b), len(known) - 1)
-                        hit = known[at] == b
+                        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                        hit = known[at] == ids
                         own[hit] = gains[at[hit]]
-                    spots = pa.ListArray.from_arrays(pa.array(np.append(new, len(ids)).astype(np.int32)), pa.array(order.astype(np.int32)))
-                    rows = len(b)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * rows, pa.int64()), pa.array([batch.column(1)[i].as_py()] * rows, pa.int64()), pa.array([len(ids)] * rows, pa.int32()), pa.array(a.view(np.int64), mask=s), pa.array(b.view(np.int64)), spots, pa.array(own, mask=~hit)], names=["_t", "_u", "n", "a", "b", "spots", "own"])
-
-        once = texts.where("text is not null").select(*_text_keys(F.col("text")), "text").groupBy("_t", "_u").agg(F.first("text").alias("text"))
-        found = self.scratch.table(once.mapInArrow(places, "_t long, _u long, n int, a long, b long, spots array<int>, own double"))
-        rare = found.where("own is null").drop("own").join(self.words.select(F.col("k").alias("b"), F.col("gain").alias("own")), "b", "left")
-        found = found.where("own is not null").unionByName(rare.select(*found.columns))
-        found = found.join(self.pairs, ["a", "b"], "left").withColumn("gain", F.coalesce("gain", "own", F.lit(0.0))).where("gain <> 0")
-        found = found.groupBy("_t", "_u").agg(F.first("n").alias("n"), F.collect_list(F.struct("spots", "gain")).alias("of"))
+                    sought = ~hit & rare_words.holds(mixed(ids)) if rare_words else np.zeros(len(ids), bool)
+                    found, a, b = own.copy(), ids[:-1], ids[1:]
+                    h = _pair_hash(a, b)
+                    there = np.zeros(len(h), bool)
+                    if len(hashes) and len(h):
+                        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                        there = (firsts[at] == a) & (seconds[at] == b)
+                        found[1:][there] = pair_gains[at[there]]
+                    sought[1:] &= ~there
+                    if rare_pairs:
+                        sought[1:] |= ~there & rare_pairs.holds(h)
+                    if not sought.any():
+                        if found.any():
+                            rows.append((t, u, len(ids), None, None, None, None, *_evidence(found)))
+                        continue
+                    found[sought] = 0
+                    if len(at := np.flatnonzero(found)):
+                        rows.append((t, u, len(ids), None, None, at, found[at], None, None))
+                    places = np.flatnonzero(sought)
+                    before, after, start = ids[np.maximum(places - 1, 0)], ids[places], places == 0
+                    order = np.lexsort((places, after, before, start))
+                    x, y, z = before[order], after[order], start[order]
+                    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1]))))
+                    for spots in np.split(places[order], new[1:]):
+                        i = int(spots[0])
+                        rows.append((t, u, len(ids), int(ids[i - 1].view(np.int64)) if i else None, int(ids[i].view(np.int64)), spots, own[i : i + 1] if hit[i] else None, None, None))
+                columns = [list(x) for x in zip(*rows)] or [[] for _ in fields]
+                yield pa.RecordBatch.from_arrays([_lists(c, k.value_type) if pa.types.is_list(k) else pa.array(c, k) for c, k in zip(columns, fields.values())], names=list(fields))
+
+        told = texts.where("text is not null").select(*_text_keys(F.col("text")), "text")
+        found = self.scratch.table(told.mapInArrow(places, "_t long, _u long, n int, a long, b long, spots array<int>, gains array<double>, x double, y double"))
+        settled = found.where("x is not null").select("_t", "_u", F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        rows = found.where("x is null").drop("x", "y").dropDuplicates(["_t", "_u", "a", "b"])  # copies come once
+        rows = self.scratch.table(rows.withColumn("own", F.when(F.col("b").isNotNull(), F.col("gains")[0])))
+        given, sought = rows.where("b is null"), rows.where("b is not null")
+        if not self.all_words:
+            rare = sought.where("own is null").drop("own").join(self.words.select(F.col("k").alias("b"), F.col("gain").alias("own")), "b", "left")
+            sought = sought.where("own is not null").unionByName(rare.select(*sought.columns))
+        sought = sought.join(self.pairs.select("a", "b", "gain"), ["a", "b"], "left").withColumn("gain", F.coalesce("gain", "own", F.lit(0.0))).where("gain <> 0")
+        both = given.select("_t", "_u", "n", "spots", "gains").unionAll(sought.select("_t", "_u", "n", "spots", F.array("gain")))
+        both = both.groupBy("_t", "_u").agg(F.first("n").alias("n"), F.collect_list(F.struct("spots", "gains")).alias("of"))
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -227,11 +319,14 @@ class Tables:
                 for n, of in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     gains = np.zeros(n)
                     for x in of:
-                        gains[x["spots"]] = x["gain"]
+                        gains[x["spots"]] = x["gains"]
                     out.append(_evidence(gains))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in out], pa.float64()) for i in (0, 1))], names=["_t", "_u", "a", "b"])
 
-        return self.scratch.table(found.mapInArrow(summed, "_t long, _u long, a double, b double"))
+        out = self.scratch.table(settled.unionAll(both.mapInArrow(summed, "_t long, _u long, a double, b double")))
+        for x in (found, rows):
+            self.scratch.drop(x)
+        return out
 
     def scores(self, df: DataFrame, text: str, column: str, broadcast_rows: int = 400_000) -> DataFrame:
         own = F.col(text).cast("string")
@@ -278,7 +373,7 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
 
     ``discount`` is in counts of the smaller class. If at most ``most`` words and as many pairs pass
     it, the model is broadcast; a larger one stays in tables and is joined (see ``Tables``), with the
-    same scores. Returns None if a class has no words.
+    same scores. Pairs are counted by ranks of words while these are four times as many at most. Returns None if a class has no words.
     """
     counted = train.where("not calibrate")
     words = scratch.table(_counts(counted, lambda ids: ids).where("n0 + n1 > 1"))
@@ -299,18 +394,17 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
             model.weights = _logistic(seen[["a", "b"]].to_numpy(float), seen["label"].to_numpy(float))
         return model
 
-    def in_tables() -> Tables:
-        model = Tables(counted, kept, totals, discounts, most, scratch)
+    def in_tables(pairs: DataFrame | None = None) -> Tables:
+        model = Tables(counted, kept, totals, discounts, most, scratch, pairs)
         seen = rows.select("key", "label", "text", *_text_keys(F.col("text"))).join(model.evidence(rows.select("text")), ["_t", "_u"], "left")
         return calibrated(model, seen.withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("a", "b")}))
 
     kept = words.where(passing)
-    if kept.limit(most + 1).count() > most:
+    size = kept.limit(4 * most + 1).count()
+    if size > 4 * most:
         return in_tables()
-    got = kept.orderBy("k").toPandas()
-    vocabulary = got["k"].to_numpy().view(np.uint64)
-    size = len(vocabulary)
-    shared = words.sparkSession.sparkContext.broadcast(order_of(vocabulary))  # at most `most` words
+    vocabulary = kept.select("k").orderBy("k").toPandas()["k"].to_numpy().view(np.uint64)
+    shared = words.sparkSession.sparkContext.broadcast(order_of(vocabulary))  # 16 bytes a word
 
     def pairs_of(ids: np.ndarray) -> np.ndarray:
         known, rank = shared.value
@@ -323,12 +417,22 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
         return (at[:-1][both] * size + at[1:][both]).astype(np.uint64)
 
     pairs = scratch.table(_counts(counted, pairs_of))
+    kept_pairs = pairs.where(passing)
+    if size > most or kept_pairs.limit(most + 1).count() > most:
+
+        def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, rank = shared.value
+            ranked = np.empty(size, np.uint64)
+            ranked[rank] = known
+            for batch in batches:
+                k = np.asarray(batch.column(0))
+                yield pa.RecordBatch.from_arrays([*(pa.array(ranked[x].view(np.int64)) for x in (k // max(size, 1), k % max(size, 1))), batch.column(1), batch.column(2)], names=["a", "b", "n0", "n1"])
+
+        return in_tables(pairs.mapInArrow(spelled, "a long, b long, n0 long, n1 long"))
     before = pairs.groupBy((F.col("k") % max(size, 1)).alias("w")).count().toPandas()
     continuation = np.zeros(size)
     continuation[before["w"].to_numpy(int)] = before["count"].to_numpy(float)
-    kept_pairs = pairs.where(passing)
-    if kept_pairs.limit(most + 1).count() > most:
-        return in_tables()
+    got = kept.orderBy("k").toPandas()
     own = kept_pairs.orderBy("k").toPandas()
     model = Model(vocabulary, got[["n0", "n1"]].to_numpy(), totals, own["k"].to_numpy(np.int64), own[["n0", "n1"]].to_numpy(), discounts, continuation)
     sent = words.sparkSession.sparkContext.broadcast(model)

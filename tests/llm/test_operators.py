@@ -482,3 +482,21 @@ def test_search_matches_brute_force(spark):
     few = search(df.where("vec_id < 3"), "vec_id", "embedding", F.col("id") == 0).orderBy("rank").collect()
     assert [r["rank"] for r in few] == [1, 2]
     assert search(df.limit(0), "vec_id", "embedding", F.col("id") == 0).count() == 0
+
+
+def test_model_in_tables_makes_rows_of_rare_expressions_only(spark, monkeypatch):
+    r = random.Random(9)
+    docs = [(i, prose(r, 80) + (" vilo grubo" if i % 3 == 0 else "")) for i in range(300)]
+    docs, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    train, made = labelled(docs, marks), []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: made.append(table(self, df)) or made[-1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, df: None)
+    whole = {x["doc_id"]: x["score"] for x in toxicity(docs, "text", train).collect()}
+    for most in (8, 60, 400):  # words by hash; words by rank, filters of words and pairs; of pairs alone
+        made.clear()
+        got = {x["doc_id"]: x["score"] for x in toxicity(docs, "text", train, most=most).collect()}
+        assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-9 for k in got)
+    rows = max(x.count() for x in made if "spots" in x.columns)
+    places = docs.selectExpr("sum(size(split(text, ' '))) n").first()["n"]
+    assert rows < places / 2  # it had a row for each distinct pair of each text
