@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: Set while a table is written: Spark deletes the shuffle files of the plan when it has run, not when the
 #: driver happens to collect its garbage, which may be half an hour and many tables later.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds between collections of the driver's garbage: plans, broadcasts and shuffles that are done with.
+COLLECT_S = 5
+_collected = time.monotonic()
+
+
+def _collect(spark: SparkSession) -> None:
+    """Release what finished plans hold; otherwise the driver's heap grows to its limit first."""
+    global _collected
+    if time.monotonic() - _collected >= COLLECT_S:
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,6 +61,7 @@ class Scratch:
                 self.spark.conf.unset(CLEANUP)
             else:
                 self.spark.conf.set(CLEANUP, before)
+        _collect(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
