@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,13 @@ class Scratch(scratch.Scratch):
         small_batches(spark)
 
 
+def arrays(df: DataFrame) -> list[np.ndarray]:
+    """Columns of numbers without nulls, whole, on the driver. They come as Arrow batches: by ``toPandas`` each row
+    is pickled in the driver's JVM and becomes objects in its Python, which is most of the memory of both."""
+    got = df.toArrow()
+    return [got.column(i).to_numpy() for i in range(got.num_columns)]
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of all documents that no model learns from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

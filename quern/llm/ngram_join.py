@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.graph import components
 
-from .common import Scratch
+from .common import Scratch, arrays
 from .wordids import ngram_sets
 
 
@@ -68,10 +68,10 @@ def frequent(docs: DataFrame, n: int, scratch: Scratch, most: int = 1_000_000, r
     least = 3
     while (kept := found.where(F.col("n") >= least)).count() > most:
         least *= 2
-    got = kept.toPandas()
+    g, often = arrays(kept.select("g", "n"))
     scratch.drop(found)
-    order = np.argsort(g := got["g"].to_numpy(np.int64).view(np.uint64))
-    return g[order], got["n"].to_numpy(np.int64)[order].astype(np.uint32)
+    order = np.argsort(g := g.view(np.uint64))
+    return g[order], often[order].astype(np.uint32)
 
 
 def _bins(size: int) -> int:

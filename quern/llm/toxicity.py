@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrays
 from .wordids import FACTORS, LETTERS, mixed, word_hashes
 
 #: Words of a stretch, and words that are added to every length so that one word is no proof.
@@ -140,8 +140,8 @@ class Model:
         """A row for each text."""
         return np.array([_evidence(self.gains(x)) for x in _ids(texts)]).reshape(-1, 2)
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.evidence(texts) @ self.weights[1:], -30, 30)))
+    def scores(self, texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(weights[0] + self.evidence(texts) @ weights[1:], -30, 30)))
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,9 +166,10 @@ class _Filter:
                 bits = np.bitwise_or.reduceat(bit, new) if len(new) else bit
                 yield pa.RecordBatch.from_arrays([pa.array(slot[new].view(np.int64)), pa.array(bits.view(np.int64))], names=["slot", "bits"])
 
-        got = keys.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+        got = keys.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+        slot, bits = arrays(got)
         self.bits = np.zeros(size // 64, np.uint64)
-        self.bits[got["slot"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+        self.bits[slot] = bits.view(np.uint64)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
@@ -238,14 +239,14 @@ class Tables:
         self.pairs = scratch.table(kept.join(taken, "a").select("a", "b", gain.alias("gain"), m.alias("m")))
         scratch.drop(kept)
         common, all_words = _commonest(self.words, "n", most)
-        got = common.select("k", "gain").toPandas()
-        order = np.argsort(k := got["k"].to_numpy(np.int64).view(np.uint64))
-        told = [k[order], got["gain"].to_numpy(float)[order]]
+        k, own = arrays(common.select("k", "gain"))
+        order = np.argsort(k := k.view(np.uint64))
+        told = [k[order], own[order]]
         common, all_pairs = _commonest(self.pairs, "m", most)
-        got = common.select("a", "b", "gain").toPandas()
-        a, b = (got[x].to_numpy(np.int64).view(np.uint64) for x in ("a", "b"))
+        a, b, own = arrays(common.select("a", "b", "gain"))
+        a, b = a.view(np.uint64), b.view(np.uint64)
         order = np.argsort(h := _pair_hash(a, b))
-        told += [h[order], a[order], b[order], got["gain"].to_numpy(float)[order]]
+        told += [h[order], a[order], b[order], own[order]]
         told.append(None if all_words else _Filter(self.words.select("k"), mixed, size))
         told.append(None if all_pairs else _Filter(self.pairs.select("a", "b"), _pair_hash, self.pairs.count()))
         self.all_words, self.common = all_words, counted.sparkSession.sparkContext.broadcast(tuple(told))
@@ -389,9 +390,10 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     rows = rows.join(F.broadcast(ids), "key", "left_semi")
 
     def calibrated(model, seen: DataFrame):
-        seen = seen.select("key", "label", "a", "b").toPandas().sort_values(["key", "a", "b"])
-        if seen["label"].nunique() == 2:
-            model.weights = _logistic(seen[["a", "b"]].to_numpy(float), seen["label"].to_numpy(float))
+        seen = seen.select("key", "label", "a", "b").toArrow().sort_by([(x, "ascending") for x in ("key", "a", "b", "label")])
+        label, *evidence = (seen.column(x).to_numpy().astype(float) for x in ("label", "a", "b"))
+        if len(np.unique(label)) == 2:
+            model.weights = _logistic(np.column_stack(evidence), label)
         return model
 
     def in_tables(pairs: DataFrame | None = None) -> Tables:
@@ -403,17 +405,16 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     size = kept.limit(4 * most + 1).count()
     if size > 4 * most:
         return in_tables()
-    vocabulary = kept.select("k").orderBy("k").toPandas()["k"].to_numpy().view(np.uint64)
-    shared = words.sparkSession.sparkContext.broadcast(order_of(vocabulary))  # 16 bytes a word
+    vocabulary = np.sort(arrays(kept.select("k"))[0].view(np.uint64))
+    shared = words.sparkSession.sparkContext.broadcast(vocabulary)  # 8 bytes a word
 
     def pairs_of(ids: np.ndarray) -> np.ndarray:
-        known, rank = shared.value
+        known = shared.value
         if len(ids) < 2 or not len(known):
             return np.empty(0, np.uint64)
         at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
         ok = known[at] == ids
         both = ok[1:] & ok[:-1]
-        at = rank[at]
         return (at[:-1][both] * size + at[1:][both]).astype(np.uint64)
 
     pairs = scratch.table(_counts(counted, pairs_of))
@@ -421,21 +422,20 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     if size > most or kept_pairs.limit(most + 1).count() > most:
 
         def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, rank = shared.value
-            ranked = np.empty(size, np.uint64)
-            ranked[rank] = known
+            known = shared.value
             for batch in batches:
                 k = np.asarray(batch.column(0))
-                yield pa.RecordBatch.from_arrays([*(pa.array(ranked[x].view(np.int64)) for x in (k // max(size, 1), k % max(size, 1))), batch.column(1), batch.column(2)], names=["a", "b", "n0", "n1"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(known[x].view(np.int64)) for x in (k // max(size, 1), k % max(size, 1))), batch.column(1), batch.column(2)], names=["a", "b", "n0", "n1"])
 
         return in_tables(pairs.mapInArrow(spelled, "a long, b long, n0 long, n1 long"))
-    before = pairs.groupBy((F.col("k") % max(size, 1)).alias("w")).count().toPandas()
+    before, count = arrays(pairs.groupBy((F.col("k") % max(size, 1)).alias("w")).count())
     continuation = np.zeros(size)
-    continuation[before["w"].to_numpy(int)] = before["count"].to_numpy(float)
-    got = kept.orderBy("k").toPandas()
-    own = kept_pairs.orderBy("k").toPandas()
-    model = Model(vocabulary, got[["n0", "n1"]].to_numpy(), totals, own["k"].to_numpy(np.int64), own[["n0", "n1"]].to_numpy(), discounts, continuation)
-    sent = words.sparkSession.sparkContext.broadcast(model)
+    continuation[before] = count
+    k, *n = arrays(kept.select("k", "n0", "n1"))
+    n = np.column_stack(n)[np.argsort(k.view(np.uint64))]
+    k, *m = arrays(kept_pairs.select("k", "n0", "n1"))
+    model = Model(vocabulary, n, totals, k, np.column_stack(m), discounts, continuation)
+    sent = model.sent = words.sparkSession.sparkContext.broadcast(model)  # of at most `most` words and pairs
 
     @F.arrow_udf("struct<a double, b double>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -446,11 +446,6 @@ def fit(train: DataFrame, scratch: Scratch, discount: float = 1.5, most: int = 1
     return calibrated(model, rows.select("key", "label", evidence("text").alias("e")).select("key", "label", "e.a", "e.b"))
 
 
-def order_of(vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(vocabulary)
-    return vocabulary[order], order
-
-
 def toxicity(df: DataFrame, text: str, train: DataFrame, column: str = "score", **options) -> DataFrame:
     """``df`` with the score (0 to 1) of every whole text, by a model of ``train`` (see ``fit``).
 
@@ -464,12 +459,12 @@ def toxicity(df: DataFrame, text: str, train: DataFrame, column: str = "score",
         return df.withColumn(column, F.lit(0.0))
     if isinstance(model, Tables):
         return model.scores(df, text, column)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of at most `most` words and pairs
+    sent, weights = model.sent, model.weights
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(shared.value.scores(batch), pa.float64())
+            yield pa.array(sent.value.scores(batch, weights), pa.float64())
 
     return df.withColumn(column, score(F.col(text).cast("string")))
 
